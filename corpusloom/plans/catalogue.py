@@ -1,15 +1,536 @@
-"""The registered queries of the corpus operators, and the SQL that tells the same."""
+"""The registered queries of the corpus operators over the driver's tables, and the SQL that tells the same.
+
+The tables hold no style code, so generic relations are fed by adapters: `pages` is a corpus, tags and hrefs its
+occurrences; part brands stand in for tokens and orders for files; hex colors and edges are derived from keys by
+arithmetic. These derived ones are stand-ins and tell nothing about the data.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import color as co
+from ..functions import text as tx
+from ..operators import documents, extract, graph, project, registry, rewrite, rules, sequence, tokens
+from ..sources import corpus as src
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+HREF = 'href="([^"]+)"'
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select(F.col("url").alias("path"), F.col("html").alias("text"))
+
+
+def hrefs(spark: SparkSession, d: str) -> DataFrame:
+    return extract.occurrences(pages(spark, d), HREF, {"value": 1})
+
+
+def derived_hex(key: Column) -> Column:
+    return F.concat(F.lit("#"), F.lower(F.lpad(F.hex(F.pmod(key * 2654435761, F.lit(16777216))), 6, "0")))
+
+
+def token_cells(spark: SparkSession, d: str) -> DataFrame:
+    """token: a brand, file: an order, in_scope: the order is finished."""
+    items = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return items.groupBy(F.col("p_brand").alias("token"), F.col("l_orderkey").alias("file"), (F.col("o_orderstatus") == "F").alias("in_scope")).agg(F.count("*").alias("n"))
+
+
+def small_cells(spark: SparkSession, d: str) -> DataFrame:
+    """token: a brand, file: a part size, in_scope: sizes up to 25. Every part once."""
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("token"), F.col("p_size").alias("file"), (F.col("p_size") <= 25).alias("in_scope")).agg(F.count("*").alias("n"))
+
+
+def size_registry(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").groupBy(F.col("p_size").cast("double").alias("value")).agg(F.count("*").alias("usages"))
+
+
+def nation_edges(spark: SparkSession, d: str, *rules_: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """nodes: nations; edges k -> (a k + b) mod 25 for each rule (a, b)."""
+    nodes = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
+    edges = nodes.select(F.col("node").alias("src"), F.explode(F.array(*(F.pmod(a * F.col("node") + b, F.lit(25)) for a, b in rules_))).alias("dst"))
+    return nodes, edges
+
+
+def nation_tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """nodes: nations; edges from 2k+1 and 2k+2 to k (a child depends on its parent)."""
+    nodes = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
+    edges = nodes.where("node > 0").select(F.col("node").alias("src"), F.floor((F.col("node") - 1) / 2).cast("long").alias("dst"))
+    return nodes, edges
+
+
+HREF_SQL = """hits AS (SELECT url AS path, html AS text, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS value FROM pages)"""
+LINE_FIRST = """WITH RECURSIVE walk AS (
+  SELECT url AS path, html AS rest, 0 AS base, -1 AS seq, -1 AS o, '' AS m FROM pages
+  UNION ALL
+  SELECT path, substr(rest, strpos(rest, x) + len(x)), base + strpos(rest, x) - 1 + len(x), seq + 1, base + strpos(rest, x) - 1, x
+  FROM (SELECT *, regexp_extract(rest, 'href="[^"]+"') AS x FROM walk) WHERE x <> '')"""
+
+
+@query(f"WITH {HREF_SQL} SELECT value, count(*) AS n, min(path) AS first_path FROM hits GROUP BY value HAVING count(*) >= 5")
+def literal_inventory(spark: SparkSession, d: str) -> DataFrame:
+    found = hrefs(spark, d).select("value", "path", tx.line_of(F.col("text"), F.col("offset")).alias("line"))
+    return registry.first_location(found, 5).select("value", "n", "first_path").orderBy(F.col("n").desc(), "value")
+
+
+@query(LINE_FIRST + """ SELECT w.path, CAST(seq AS BIGINT) AS seq, CAST(o AS BIGINT) AS "offset", len(substr(html, 1, o)) - len(replace(substr(html, 1, o), chr(10), '')) + 1 AS line,
+  o + 1 - CASE WHEN contains(substr(html, 1, o), chr(10)) THEN len(substr(html, 1, o)) - strpos(reverse(substr(html, 1, o)), chr(10)) + 1 ELSE 0 END AS col, m AS match
+  FROM walk w JOIN (SELECT DISTINCT url, html FROM pages) p ON p.url = w.path WHERE seq >= 0""")
+def literal_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of one URL hold the same path; the table has each URL once."""
+    found = extract.occurrences(pages(spark, d), 'href="[^"]+"')
+    at, text = F.col("offset"), F.col("text")
+    return found.select("path", F.col("seq").cast("long").alias("seq"), at.cast("long").alias("offset"), tx.line_of(text, at).cast("long").alias("line"), tx.column_of(text, at).cast("long").alias("col"), "match")
+
+
+@query("SELECT tag, count(*) AS n, count(DISTINCT path) AS files FROM (SELECT url AS path, unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag")
+def tag_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return extract.tags(pages(spark, d)).groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"))
+
+
+@query("""SELECT url AS path, regexp_extract(html, '<a ([^>]*)>', 1) AS tag, regexp_extract(regexp_extract(html, '<a ([^>]*)>', 1), 'href="([^"]*)"', 1) AS href FROM pages WHERE regexp_matches(html, '<a [^>]*>')""")
+def attribute_map(spark: SparkSession, d: str) -> DataFrame:
+    first = extract.occurrences(pages(spark, d), "<a ([^>]*)>", {"tag": 1}).where("seq = 0")
+    return extract.attributes(first, "tag").select("path", "tag", F.col("attrs")["href"].alias("href"))
+
+
+@query("SELECT url, CASE WHEN len(s) > 50 THEN regexp_replace(right(s, 50), '^-+', '') ELSE s END AS slug FROM (SELECT url, regexp_replace(regexp_replace(lower(regexp_replace(url, '^https?://|[?#].*$', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM pages)")
+def url_slug(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("url", tx.slug(F.col("url")).alias("slug"))
+
+
+@query("SELECT url, CASE WHEN len(p) > 1 AND ends_with(p, '/') THEN substr(p, 1, len(p) - 1) ELSE p END AS route FROM (SELECT url, split_part(regexp_replace(url, '^https?://[^/]+', ''), '?', 1) AS p FROM pages)")
+def route_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("url", tx.normal_route(F.regexp_replace("url", "^https?://[^/]+", "")).alias("route"))
+
+
+@query("SELECT doc_id, contains(lower(substr(coalesce(text, ''), 1, 300)), 'licensed under') AS marked FROM documents")
+def generated_header(spark: SparkSession, d: str) -> DataFrame:
+    """License lines stand in for marks of generated files."""
+    return table(spark, d, "documents").select("doc_id", src.is_generated(F.coalesce("text", F.lit("")), ["(?i)licensed under"]).alias("marked"))
+
+
+HEX_SQL = "(SELECT p_partkey, lpad(lower(printf('%x', (p_partkey * 2654435761) % 16777216)), 6, '0') AS h FROM part)"
+RGB_SQL = f"(SELECT p_partkey, h, CAST(('0x' || substr(h, 1, 2)) AS INT) / 255.0 AS r, CAST(('0x' || substr(h, 3, 2)) AS INT) / 255.0 AS g, CAST(('0x' || substr(h, 5, 2)) AS INT) / 255.0 AS b FROM {HEX_SQL})"
+_LIN = "CASE WHEN {0} <= 0.04045 THEN {0} / 12.92 ELSE pow(({0} + 0.055) / 1.055, 2.4) END"
+XYZ_SQL = f"""(SELECT p_partkey, h, (0.4124564 * lr + 0.3575761 * lg + 0.1804375 * lb) / 0.95047 AS x, 0.2126729 * lr + 0.7151522 * lg + 0.0721750 * lb AS y, (0.0193339 * lr + 0.1191920 * lg + 0.9503041 * lb) / 1.08883 AS z
+  FROM (SELECT p_partkey, h, {_LIN.format("r")} AS lr, {_LIN.format("g")} AS lg, {_LIN.format("b")} AS lb FROM {RGB_SQL}))"""
+_F = "CASE WHEN {0} > 216.0 / 24389 THEN cbrt({0}) ELSE (24389.0 / 27 * {0} + 16) / 116 END"
+LAB_SQL = f"(SELECT p_partkey, h, 116 * fy - 16 AS L, 500 * (fx - fy) AS a, 200 * (fy - fz) AS b FROM (SELECT p_partkey, h, {_F.format('x')} AS fx, {_F.format('y')} AS fy, {_F.format('z')} AS fz FROM {XYZ_SQL}))"
+
+
+@query(f"SELECT p_partkey, '#' || h AS hex, floor(L * 1000 + 0.5) / 1000 AS l, floor(a * 1000 + 0.5) / 1000 AS a, floor(b * 1000 + 0.5) / 1000 AS b FROM {LAB_SQL}")
+def hex_rgb_lab(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", derived_hex(F.col("p_partkey")).alias("hex"))
+    rows = rows.withColumn("lab", co.lab(co.expand_hex(F.col("hex"))))
+    return rows.select("p_partkey", "hex", *(tx.round_half_up(F.col(f"lab.{c}"), 3).alias(c.lower()) for c in "Lab"))
+
+
+DE_SQL = f"""WITH p AS (SELECT x.p_partkey, x.L AS l1, x.a AS a1, x.b AS b1, y.L AS l2, y.a AS a2, y.b AS b2 FROM {LAB_SQL} x JOIN {LAB_SQL} y ON y.p_partkey = x.p_partkey + 1),
+c AS (SELECT *, 0.5 * (1 - sqrt(pow((sqrt(a1*a1+b1*b1) + sqrt(a2*a2+b2*b2)) / 2, 7) / (pow((sqrt(a1*a1+b1*b1) + sqrt(a2*a2+b2*b2)) / 2, 7) + pow(25.0, 7)))) AS g FROM p),
+e AS (SELECT *, sqrt(pow((1+g)*a1, 2) + b1*b1) AS c1, sqrt(pow((1+g)*a2, 2) + b2*b2) AS c2, (degrees(atan2(b1, (1+g)*a1)) + 720) % 360 AS h1, (degrees(atan2(b2, (1+g)*a2)) + 720) % 360 AS h2 FROM c),
+f AS (SELECT *, CASE WHEN abs(h2-h1) <= 180 THEN h2-h1 WHEN h2-h1 > 180 THEN h2-h1-360 ELSE h2-h1+360 END AS dh, CASE WHEN abs(h1-h2) <= 180 THEN (h1+h2)/2 WHEN h1+h2 < 360 THEN (h1+h2+360)/2 ELSE (h1+h2-360)/2 END AS hb, (l1+l2)/2 AS lm, (c1+c2)/2 AS cb FROM e),
+k AS (SELECT *, 1 - 0.17*cos(radians(hb-30)) + 0.24*cos(radians(2*hb)) + 0.32*cos(radians(3*hb+6)) - 0.20*cos(radians(4*hb-63)) AS t FROM f),
+s AS (SELECT *, (l2-l1) / (1 + 0.015*pow(lm-50, 2)/sqrt(20+pow(lm-50, 2))) AS l, (c2-c1) / (1+0.045*cb) AS cc, 2*sqrt(c1*c2)*sin(radians(dh/2)) / (1+0.015*cb*t) AS hh, -2*sqrt(pow(cb,7)/(pow(cb,7)+pow(25.0,7)))*sin(radians(60*exp(-pow((hb-275)/25, 2)))) AS rt FROM k)
+SELECT p_partkey, floor(sqrt(l*l + cc*cc + hh*hh + rt*cc*hh) * 10 + 0.5) / 10 AS de FROM s"""
+
+
+@query(DE_SQL)
+def delta_e_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", co.lab(co.expand_hex(derived_hex(F.col("p_partkey")))).alias("p"))
+    pairs = rows.join(rows.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p").alias("q")), "p_partkey")
+    de = co.delta_e(registry.lab_fields(F.col("p")), registry.lab_fields(F.col("q")))
+    return pairs.select("p_partkey", tx.round_half_up(de, 1).alias("de"))
+
+
+HSL_SQL = f"""(SELECT p_partkey, h AS hex6, mx - mn AS dd, (mx + mn) / 2 AS l, CASE WHEN mx = mn THEN 0 ELSE (mx - mn) / CASE WHEN (mx + mn) / 2 > 0.5 THEN 2 - mx - mn ELSE mx + mn END END AS s,
+  60 * CASE WHEN mx = mn THEN 0 WHEN mx = r THEN ((g - b) / (mx - mn) + 6) % 6 WHEN mx = g THEN (b - r) / (mx - mn) + 2 ELSE (r - g) / (mx - mn) + 4 END AS hue
+  FROM (SELECT *, greatest(r, g, b) AS mx, least(r, g, b) AS mn FROM {RGB_SQL}))"""
+FAMILY_SQL = "CASE WHEN hue < 15 OR hue >= 345 THEN 'red' WHEN hue < 45 THEN 'orange' WHEN hue < 70 THEN 'yellow' WHEN hue < 165 THEN 'green' WHEN hue < 200 THEN 'cyan' WHEN hue < 255 THEN 'blue' WHEN hue < 290 THEN 'violet' ELSE 'magenta' END"
+
+
+@query(f"SELECT p_partkey, floor(hue * 100 + 0.5) / 100 AS h, floor(s * 100 + 0.5) / 100 AS s, floor(l * 100 + 0.5) / 100 AS l, {FAMILY_SQL} AS family FROM {HSL_SQL}")
+def hue_family(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", co.hsl(co.expand_hex(derived_hex(F.col("p_partkey")))).alias("c"))
+    return rows.select("p_partkey", *(tx.round_half_up(F.col(f"c.{x}")).alias(x) for x in "hsl"), co.hue_family(F.col("c.h")).alias("family"))
+
+
+@query(f"""WITH u AS (SELECT l_partkey, count(*) AS w FROM lineitem GROUP BY 1), c AS (SELECT w, hue, s, l, {FAMILY_SQL} AS family FROM {HSL_SQL} JOIN u ON l_partkey = p_partkey)
+SELECT CAST(floor(((degrees(atan2(sum(CASE WHEN s > 0.1 THEN sin(radians(hue)) * w ELSE 0 END), sum(CASE WHEN s > 0.1 THEN cos(radians(hue)) * w ELSE 0 END))) + 360) % 360) + 0.5) AS INT) AS avg_hue,
+  floor(sum(s * w) / sum(w) * 100 + 0.5) / 100 AS avg_saturation, floor(sum(l * w) / sum(w) * 100 + 0.5) / 100 AS avg_lightness,
+  (SELECT family FROM (SELECT family, sum(w) AS n FROM c WHERE s > 0.1 GROUP BY 1 ORDER BY n DESC, family DESC LIMIT 1)) AS dominant FROM c""")
+def palette_circular_mean(spark: SparkSession, d: str) -> DataFrame:
+    used = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("usages"))
+    return registry.palette(used.select(derived_hex(F.col("l_partkey")).alias("hex"), "usages"))
+
+
+SCALE_SQL = "(VALUES " + ", ".join(f"({s}, '{n}', {k})" for k, (s, n) in enumerate(rules.SPACING_SCALE)) + ") AS scale(step, name, k)"
+
+
+@query(f"SELECT p_partkey, p_size, (SELECT name FROM {SCALE_SQL} ORDER BY abs(p_size - step), k LIMIT 1) AS step FROM part")
+def nearest_scale_step(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", "p_size", rules.nearest_step(F.col("p_size").cast("double"), rules.SPACING_SCALE).alias("step"))
+
+
+@query(f"SELECT value, step, CASE WHEN gap = 0 THEN 'exact' WHEN gap <= 4 THEN 'snap' ELSE 'off-scale' END AS tier FROM (SELECT DISTINCT p_size AS value, (SELECT name FROM {SCALE_SQL} ORDER BY abs(p_size - step), k LIMIT 1) AS step, (SELECT min(abs(p_size - step)) FROM {SCALE_SQL}) AS gap FROM part)")
+def promotion_tier(spark: SparkSession, d: str) -> DataFrame:
+    return rewrite.promote_numbers(table(spark, d, "part").select(F.col("p_size").alias("value")).distinct(), rules.SPACING_SCALE)
+
+
+CELLS_SQL = "cells AS (SELECT p_brand AS token, l_orderkey AS file, o_orderstatus = 'F' AS in_scope, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"
+SMALL_SQL = "cells AS (SELECT p_brand AS token, p_size AS file, p_size <= 25 AS in_scope, count(*) AS n FROM part GROUP BY ALL)"
+
+
+@query(f"WITH {CELLS_SQL} SELECT token, file, in_scope, n FROM cells")
+def token_file_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return token_cells(spark, d)
+
+
+@query(f"WITH {CELLS_SQL} SELECT token, count(DISTINCT CASE WHEN in_scope THEN file END) AS in_files, count(DISTINCT CASE WHEN NOT in_scope THEN file END) AS out_files, NOT bool_or(in_scope) AS only_outside FROM cells GROUP BY token")
+def token_consumers(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.consumers(token_cells(spark, d)).select("token", "in_files", "out_files", "only_outside")
+
+
+PAIRS_SQL = f"""{SMALL_SQL}, own AS (SELECT DISTINCT token, file FROM cells), sizes AS (SELECT token, count(*) AS n FROM own GROUP BY 1),
+pairs AS (SELECT x.token AS a, y.token AS b, (SELECT count(*) FROM own o1 JOIN own o2 USING (file) WHERE o1.token = x.token AND o2.token = y.token) AS both_, x.n AS na, y.n AS nb,
+  CASE WHEN substr(x.token, 1, 4) = substr(y.token, 1, 4) AND len(x.token) >= 4 AND len(y.token) >= 4 THEN 0.15 ELSE 0 END AS bonus FROM sizes x JOIN sizes y ON x.token < y.token),
+scores AS (SELECT a, b, both_ / (na + nb - both_) AS jaccard, bonus FROM pairs WHERE both_ > 0 OR bonus > 0)"""
+
+
+@query(f"WITH {PAIRS_SQL} SELECT a, b, round(jaccard, 6) AS jaccard, CAST(bonus AS DOUBLE) AS bonus FROM scores")
+def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.pair_scores(small_cells(spark, d)).select("a", "b", F.round("jaccard", 6).alias("jaccard"), "bonus")
+
+
+TAU = 0.62
+
+
+def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    cells = small_cells(spark, d)
+    scores = tokens.pair_scores(cells)
+    found = graph.components(cells.select(F.col("token").alias("node")).distinct(), scores.where(F.round(F.col("jaccard") + F.col("bonus"), 9) >= TAU).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return cells, scores, found.select(F.col("node").alias("token"), F.col("comp").alias("cluster"))
+
+
+COMP_SQL = f"""WITH RECURSIVE {PAIRS_SQL}, edges AS (SELECT a, b FROM scores WHERE round(jaccard + bonus, 9) >= {TAU} UNION SELECT b, a FROM scores WHERE round(jaccard + bonus, 9) >= {TAU}),
+near AS (SELECT DISTINCT token AS t, token AS r FROM own UNION SELECT near.t, edges.b FROM near JOIN edges ON near.r = edges.a), comp AS (SELECT t AS token, min(r) AS cluster FROM near GROUP BY 1)"""
+
+
+@query(COMP_SQL + " SELECT token, cluster FROM comp")
+def token_components(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(spark, d)[2]
+
+
+@query(COMP_SQL + """, sized AS (SELECT cluster, count(*) AS tokens FROM comp GROUP BY 1), inner_ AS (SELECT x.cluster, sum(jaccard + bonus) AS total FROM scores JOIN comp x ON a = x.token JOIN comp y ON b = y.token AND x.cluster = y.cluster GROUP BY 1)
+SELECT cluster, tokens, CASE WHEN tokens = 1 THEN 1.0 ELSE floor(round(least(1.0, coalesce(total, 0) / (tokens * (tokens - 1) / 2)), 9) * 100 + 0.5) / 100 END AS strength FROM sized LEFT JOIN inner_ USING (cluster)""")
+def cluster_strength(spark: SparkSession, d: str) -> DataFrame:
+    _, scores, found = _clusters(spark, d)
+    return tokens.strength(found, scores)
+
+
+@query(COMP_SQL + """, u AS (SELECT cluster, file, sum(n) AS n FROM cells JOIN comp USING (token) WHERE in_scope GROUP BY ALL)
+SELECT cluster, CAST(rank AS INT) AS rank, file, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, file) AS rank FROM u) WHERE rank <= 5""")
+def cluster_top_files(spark: SparkSession, d: str) -> DataFrame:
+    cells, _, found = _clusters(spark, d)
+    return tokens.top_files(found, cells)
+
+
+@query(COMP_SQL + " SELECT cluster, CAST(min(file % 7) AS BIGINT) AS phase FROM cells JOIN comp USING (token) GROUP BY 1")
+def cluster_earliest_phase(spark: SparkSession, d: str) -> DataFrame:
+    """A file's phase is its size modulo 7, as a stand-in."""
+    cells, _, found = _clusters(spark, d)
+    phases = cells.select(F.col("file").alias("node"), F.pmod(F.col("file").cast("long"), F.lit(7)).alias("phase")).distinct()
+    return tokens.earliest_phase(found, cells, phases)
+
+
+LEADERS_SQL = """reg AS (SELECT CAST(p_size AS DOUBLE) AS value, count(*) AS usages FROM part GROUP BY 1), walk AS (
+  SELECT value AS leader, value, usages FROM reg WHERE value = (SELECT min(value) FROM reg)
+  UNION ALL
+  SELECT CASE WHEN r.value - w.leader <= 2 THEN w.leader ELSE r.value END, r.value, r.usages FROM walk w JOIN reg r ON r.value = (SELECT min(value) FROM reg z WHERE z.value > w.value))"""
+
+
+@query(f"WITH RECURSIVE {LEADERS_SQL} SELECT leader, count(*) AS members, CAST(sum(usages) AS BIGINT) AS usage FROM walk GROUP BY leader")
+def size_leader_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return registry.leader_clusters(size_registry(spark, d), 2.0)
+
+
+@query()
+def color_leader_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Colors of a coarse grid of the cube, derived from part keys (512 at most, whatever the table's size)."""
+    level = lambda k: F.pmod(F.floor(F.col("p_partkey") / k), F.lit(8)) * 32
+    used = table(spark, d, "part").groupBy(co.rgb_hex(level(1), level(8), level(64)).alias("hex")).agg(F.count("*").alias("usages"))
+    return registry.color_clusters(used, 12.0).select("id", "leader", F.size("members").alias("members"), "usage")
+
+
+@query("""WITH t AS (SELECT count(*) AS n, count(*) FILTER (l_quantity % 4 = 0) AS b4, count(*) FILTER (l_quantity % 5 = 0) AS b5, count(*) FILTER (l_quantity % 8 = 0) AS b8, count(*) FILTER (l_quantity % 10 = 0) AS b10 FROM lineitem)
+SELECT base, fit FROM (SELECT unnest([4, 5, 8, 10]) AS base, unnest([floor(b4 / n * 100 + 0.5) / 100, floor(b5 / n * 100 + 0.5) / 100, floor(b8 / n * 100 + 0.5) / 100, floor(b10 / n * 100 + 0.5) / 100]) AS fit FROM t) ORDER BY fit DESC, base LIMIT 1""")
+def spacing_rhythm(spark: SparkSession, d: str) -> DataFrame:
+    used = table(spark, d, "lineitem").groupBy(F.col("l_quantity").alias("value")).agg(F.count("*").alias("usages"))
+    return registry.rhythm(used)
+
+
+_SHARE = "floor(count(*) FILTER ({0}) / count(*) * 100 + 0.5) / 100 AS {1}"
+
+
+@query("WITH s AS (SELECT " + ", ".join(_SHARE.format(c, n) for c, n in (("p_size <= 4", "sharp"), ("p_size > 4 AND p_size <= 12", "soft"), ("p_size > 12 AND p_size < 999", "large"), ("p_size >= 999", "pill"))) + " FROM part) SELECT *, CASE WHEN sharp >= greatest(soft, large, pill) THEN 'sharp' WHEN soft >= greatest(large, pill) THEN 'soft' WHEN large >= pill THEN 'large' ELSE 'pill' END AS dominant FROM s")
+def radius_language(spark: SparkSession, d: str) -> DataFrame:
+    return registry.radius_language(size_registry(spark, d))
+
+
+@query("SELECT round(generous, 6) AS generous, round(efficient, 6) AS efficient, CASE WHEN generous > 0.4 THEN 'generous' WHEN efficient > 0.6 THEN 'efficient' ELSE 'balanced' END AS axis FROM (SELECT count(*) FILTER (l_quantity >= 24) / count(*) AS generous, count(*) FILTER (l_quantity > 0 AND l_quantity <= 12) / count(*) AS efficient FROM lineitem)")
+def density_axis(spark: SparkSession, d: str) -> DataFrame:
+    used = table(spark, d, "lineitem").groupBy(F.col("l_quantity").alias("value")).agg(F.count("*").alias("usages"))
+    return registry.density(used).select(F.round("generous", 6).alias("generous"), F.round("efficient", 6).alias("efficient"), "axis")
+
+
+@query(f"""WITH RECURSIVE {LEADERS_SQL}, spacing AS (SELECT leader, sum(usages) AS usage FROM walk GROUP BY 1),
+fit AS (SELECT unnest([4, 5, 8, 10]) AS base, unnest([floor(count(*) FILTER (p_size % 4 = 0) / count(*) * 100 + 0.5) / 100, floor(count(*) FILTER (p_size % 5 = 0) / count(*) * 100 + 0.5) / 100, floor(count(*) FILTER (p_size % 8 = 0) / count(*) * 100 + 0.5) / 100, floor(count(*) FILTER (p_size % 10 = 0) / count(*) * 100 + 0.5) / 100]) AS fit FROM part),
+best AS (SELECT * FROM fit ORDER BY fit DESC, base LIMIT 1), off_ AS (SELECT count(*) AS n, any_value(fit) AS fit FROM spacing, best WHERE leader NOT IN (0, 1) AND leader % base <> 0),
+r AS (SELECT count(*) FILTER (p_size <= 4) / count(*) AS sharp, count(*) FILTER (p_size > 4 AND p_size <= 12) / count(*) AS soft, count(*) FILTER (p_size > 12 AND p_size < 999) / count(*) AS large FROM part),
+found AS (SELECT 'mixed-spacing-rhythm' AS rule, CASE WHEN fit < 0.6 THEN 'severe' ELSE 'moderate' END AS severity FROM off_ WHERE n > 0 AND fit < 0.8
+  UNION ALL SELECT 'mixed-radius-language', 'severe' FROM r WHERE (floor(sharp*100+0.5)/100 >= 0.15)::INT + (floor(soft*100+0.5)/100 >= 0.15)::INT + (floor(large*100+0.5)/100 >= 0.15)::INT >= 3
+  UNION ALL SELECT 'too-many-font-families', CASE WHEN n >= 5 THEN 'severe' ELSE 'moderate' END FROM (SELECT count(DISTINCT p_brand) AS n FROM part) WHERE n >= 3)
+SELECT count(*) FILTER (severity = 'severe') AS severe, count(*) FILTER (severity = 'moderate') AS moderate, CASE WHEN count(*) FILTER (severity = 'severe') >= 3 THEN 'incoherent' WHEN count(*) >= 4 OR count(*) FILTER (severity = 'severe') >= 1 THEN 'mixed' WHEN count(*) > 0 THEN 'mostly-coherent' ELSE 'coherent' END AS verdict FROM found""")
+def incoherence_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """Part sizes stand in for spacings and radii, brands for font families; there are no colors."""
+    part = table(spark, d, "part")
+    facts = part.select(F.explode(F.array(F.struct(F.lit("spacing").alias("kind"), F.col("p_size").cast("string").alias("value")), F.struct(F.lit("radius").alias("kind"), F.col("p_size").cast("string").alias("value")), F.struct(F.lit("fontFamily").alias("kind"), F.col("p_brand").alias("value")))).alias("f"), F.col("p_partkey").cast("string").alias("path"))
+    return registry.incoherence_verdict(registry.incoherence(facts.select("f.kind", "f.value", "path")))
+
+
+@query("""WITH v AS (SELECT p_brand AS path, CASE WHEN p_size > 25 THEN 'magic-spacing' ELSE 'magic-radius' END AS kind FROM part WHERE p_size NOT IN (0, 1, 2, 100))
+SELECT path, kind, count(*) AS n, CASE WHEN count(*) < 10 OR count(*) / 25.0 < 2 THEN 'moderate' ELSE 'severe' END AS verdict FROM v GROUP BY GROUPING SETS ((path), (kind), ())""")
+def violations_by_kind_file(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").where(~F.col("p_size").isin(0, 1, 2, 100))
+    found = part.select(F.col("p_brand").alias("path"), F.when(F.col("p_size") > 25, "magic-spacing").otherwise("magic-radius").alias("kind"))
+    return rules.violation_totals(found).withColumn("verdict", rules.verdict(F.col("n"), F.lit(25)))
+
+
+@query(LINE_FIRST + """, f AS (SELECT w.path, len(substr(html, 1, o)) - len(replace(substr(html, 1, o), chr(10), '')) + 1 AS line, substr(html, greatest(o - 100, 0) + 1, o + 200 - greatest(o - 100, 0)) AS win
+  FROM walk w JOIN (SELECT DISTINCT url, html FROM pages) p ON p.url = w.path WHERE seq >= 0)
+SELECT DISTINCT 'W001' AS rule, 'warning' AS severity, path, CAST(line AS INT) AS line FROM f WHERE NOT contains(win, '</ul>')""")
+def window_rule_findings(spark: SparkSession, d: str) -> DataFrame:
+    """A link without a list's end near it, in the shape of the parity rules; one finding for a page's line."""
+    found = rules.window_rule(pages(spark, d), "W001", 'href="[^"]+"', "</ul>", 100, 200, "warning", "A link far from the end of its list.")
+    return rules.first_findings(found).select("rule", "severity", "path", "line")
+
+
+@query("""WITH s AS (SELECT doc_id AS path, unnest(['apache', 'mit', 'gnu', 'cc']) AS approach, unnest([0, 1, 2, 3]) AS rank, unnest([contains(text, 'Apache License'), contains(text, 'MIT License'), contains(text, 'GNU General'), contains(text, 'CC BY')]) AS hit FROM documents),
+t AS (SELECT approach, rank, count(*) AS files FROM s WHERE hit GROUP BY ALL) SELECT approach, rank, files, rank = (SELECT min(rank) FROM t) AS chosen FROM t""")
+def theming_priority(spark: SparkSession, d: str) -> DataFrame:
+    """License names stand in for theming signals."""
+    signals = [("apache", "Apache License"), ("mit", "MIT License"), ("gnu", "GNU General"), ("cc", "CC BY")]
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text")
+    return tokens.theming(extract.theming_signals(docs, signals)).select("approach", "rank", "files", "chosen")
+
+
+@query(f"""WITH {CELLS_SQL}, t AS (SELECT o_orderkey AS file FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT token, CAST(sum(n) AS BIGINT) AS hits, count(*) FILTER (t.file IS NULL) AS other_files FROM cells LEFT JOIN t USING (file) GROUP BY token HAVING bool_or(t.file IS NOT NULL)""")
+def blast_radius(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("path"))
+    return tokens.blast_radius(token_cells(spark, d), targets).select("token", "hits", "other_files")
+
+
+TAGS_SQL = "tags AS (SELECT url AS path, unnest(ts) AS tag, unnest(range(0, len(ts))) AS pos FROM (SELECT url, regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1) AS ts FROM pages))"
+
+
+@query(f"""WITH {TAGS_SQL}, w AS (SELECT path, pos, tag, list(tag) OVER (PARTITION BY path ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS b, list(tag) OVER (PARTITION BY path ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS a FROM tags)
+SELECT path, pos, coalesce(array_to_string(list_filter(b, lambda x: x <> 'article'), ' '), '') AS before, coalesce(array_to_string(list_filter(a, lambda x: x <> 'article'), ' '), '') AS after FROM w WHERE tag = 'article'""")
+def tag_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    found = sequence.neighbors(extract.tags(pages(spark, d)), "article")
+    return found.select("path", F.col("pos").cast("long").alias("pos"), F.array_join("before", " ").alias("before"), F.array_join("after", " ").alias("after"))
+
+
+PRIMITIVES = ["html", "head", "body", "meta", "div"]
+
+
+@query(f"""WITH {TAGS_SQL}, n AS (SELECT tag, count(DISTINCT path) AS files FROM tags WHERE path IN (SELECT path FROM tags WHERE tag = 'article') AND tag NOT IN ('article', 'html', 'head', 'body', 'meta', 'div') GROUP BY 1)
+SELECT tag, files, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY files DESC, tag) AS rank FROM n) WHERE rank <= 10""")
+def sibling_top10(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.siblings(extract.tags(pages(spark, d)), "article", PRIMITIVES)
+
+
+@query(f"WITH {TAGS_SQL} SELECT path, CAST(min(pos) AS INT) AS pos FROM tags WHERE tag = 'a' AND path NOT IN (SELECT url FROM pages WHERE page_id % 10 = 0) GROUP BY path")
+def usage_first_site(spark: SparkSession, d: str) -> DataFrame:
+    """Every tenth page stands in for the files that define the component, which are left out by definition."""
+    own = table(spark, d, "pages").where("page_id % 10 = 0").select(F.col("url").alias("path"))
+    return sequence.first_sites(extract.tags(pages(spark, d)), "a", own)
+
+
+@query(f"""WITH {HREF_SQL}, links AS (SELECT path, split_part(value, '?', 1) AS route FROM hits), t AS (SELECT regexp_replace(url, '^https?://[^/]+', '') AS route, max(url) AS name FROM pages GROUP BY 1)
+SELECT path, CASE WHEN len(route) > 1 AND ends_with(route, '/') THEN substr(route, 1, len(route) - 1) ELSE route END AS route, coalesce(name, CASE WHEN len(route) > 1 AND ends_with(route, '/') THEN substr(route, 1, len(route) - 1) ELSE route END) AS target, count(*) AS n
+FROM links LEFT JOIN t ON t.route = CASE WHEN len(links.route) > 1 AND ends_with(links.route, '/') THEN substr(links.route, 1, len(links.route) - 1) ELSE links.route END GROUP BY 1, 2, 3""".replace("CASE WHEN len(route) > 1 AND ends_with(route, '/') THEN substr(route, 1, len(route) - 1) ELSE route END", "CASE WHEN len(links.route) > 1 AND ends_with(links.route, '/') THEN substr(links.route, 1, len(links.route) - 1) ELSE links.route END"))
+def link_targets(spark: SparkSession, d: str) -> DataFrame:
+    links = hrefs(spark, d).select("path", tx.normal_route(F.col("value")).alias("route"))
+    names = table(spark, d, "pages").groupBy(F.regexp_replace("url", "^https?://[^/]+", "").alias("route")).agg(F.max("url").alias("name"))
+    return links.join(names, "route", "left").groupBy("path", "route", F.coalesce("name", "route").alias("target")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id AS slug, max(ts) AS stamp, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS score FROM events GROUP BY user_id")
+def latest_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("user_id").alias("slug"), F.col("ts").alias("stamp"), "event_id", F.col("value").alias("score"))
+    return sequence.latest(rows, ["slug"], ["stamp", "event_id"])
+
+
+@query("""WITH b AS (SELECT user_id AS slug, ts AS stamp, event_id, value AS score, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events)
+SELECT slug, stamp, event_id, score, CAST(row_number() OVER (PARTITION BY slug ORDER BY stamp, event_id) AS INT) AS seq FROM b WHERE back <= 5""")
+def trend_last_n(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("user_id").alias("slug"), F.col("ts").alias("stamp"), "event_id", F.col("value").alias("score"))
+    return sequence.trend(rows, ["slug"], ["stamp", "event_id"])
+
+
+@query("""WITH l AS (SELECT doc_id AS path, unnest(ls) AS content, unnest(range(1, len(ls) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+b AS (SELECT *, regexp_matches(content, '^\\s*$|^\\s*(---+|\\*\\*\\*+|___+)\\s*$|^\\s*#{1,6}\\s|^\\s*[-*+]\\s') AS brk FROM l),
+g AS (SELECT *, sum(brk::INT) OVER (PARTITION BY path ORDER BY line) AS grp FROM b), p AS (SELECT path, grp, min(line) AS first_line, string_agg(trim(content), ' ' ORDER BY line) AS text FROM g WHERE NOT brk GROUP BY ALL)
+SELECT path, row_number() OVER (PARTITION BY path ORDER BY grp) AS paragraph, first_line, md5(text) AS text_md5 FROM p""")
+def paragraph_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = extract.lines(table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text"))
+    found = sequence.paragraphs(rows)
+    return found.select("path", F.col("paragraph").cast("long").alias("paragraph"), F.col("first_line").cast("long").alias("first_line"), F.md5("text").alias("text_md5"))
+
+
+@query("SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING) AS section FROM conversations")
+def section_carry_forward(spark: SparkSession, d: str) -> DataFrame:
+    """A user's turn stands in for a heading."""
+    rows = table(spark, d, "conversations").withColumn("at", F.struct("turn", "role"))
+    return sequence.carried(rows, "conv_id", "at", F.col("role") == "user", F.col("turn")).select("conv_id", "turn", "role", "section")
+
+
+EDITS_SQL = "e AS (SELECT l_orderkey AS path, l_linenumber * 10 + l_partkey % 5 AS o, CAST(l_quantity AS BIGINT) % 14 AS length FROM lineitem)"
+
+
+@query(f"WITH {EDITS_SQL}, n AS (SELECT *, lead(o) OVER (PARTITION BY path ORDER BY o, length) AS next_offset FROM e) SELECT path, o AS \"offset\", next_offset FROM n WHERE o + length > next_offset")
+def edit_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "lineitem")
+    edits = items.select(F.col("l_orderkey").alias("path"), (F.col("l_linenumber") * 10 + F.col("l_partkey") % 5).alias("offset"), (F.col("l_quantity").cast("long") % 14).alias("length"))
+    return rewrite.overlaps(edits)
+
+
+@query("""SELECT doc_id, CASE WHEN len(text) >= 40 AND doc_id % 3 <> 0 THEN 'edited' WHEN len(text) >= 40 THEN 'rejected' ELSE 'unchanged' END AS status,
+  md5(CASE WHEN len(text) >= 40 AND doc_id % 3 <> 0 THEN substr(text, 1, 5) || '<A>' || substr(text, 10, 11) || '<B>' || substr(text, 21) ELSE text END) AS text_md5 FROM documents""")
+def apply_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Two derived edits for each long document; in every third they overlap, which rejects it."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text")
+    edit = lambda at, n, s: F.struct(F.lit(at).alias("offset"), n.alias("length"), F.lit(s).alias("after"))
+    wide = F.when(F.col("path") % 3 == 0, 30).otherwise(4)
+    edits = docs.where(F.length("text") >= 40).select("path", F.explode(F.array(edit(5, wide, "<A>"), edit(20, F.lit(0), "<B>"))).alias("e")).select("path", "e.*")
+    return rewrite.apply(docs, edits).select(F.col("path").alias("doc_id"), "status", F.md5("text").alias("text_md5"))
+
+
+WALK_SQL = """WITH RECURSIVE e AS (SELECT n_nationkey::BIGINT AS src, (7 * n_nationkey + 3) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation),"""
+
+
+@query(WALK_SQL + " w AS (SELECT 0::BIGINT AS node, 0 AS hops UNION SELECT e.dst, hops + 1 FROM w JOIN e ON e.src = w.node WHERE hops < 25) SELECT node, min(hops) AS hops FROM w GROUP BY node")
+def reachability_hops(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = nation_edges(spark, d, (7, 3), (1, 5))
+    return graph.reach(nodes.where("node = 0"), edges)
+
+
+SCC_SQL = """WITH RECURSIVE e AS (SELECT n_nationkey::BIGINT AS src, (7 * n_nationkey + 3) % 25 AS dst FROM nation), r AS (SELECT src AS a, src AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b),
+scc AS (SELECT x.a AS node, min(x.b) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1)"""
+
+
+@query(SCC_SQL + " SELECT node, scc, count(*) OVER (PARTITION BY scc) AS size, (SELECT count(DISTINCT src) FROM e WHERE dst = node) AS importers FROM scc")
+def scc(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = nation_edges(spark, d, (7, 3))
+    return graph.cycles(nodes, edges).join(graph.fan_out(nodes, edges), "node").select("node", "scc", "size", "importers")
+
+
+@query(SCC_SQL + """, s AS (SELECT *, count(*) OVER (PARTITION BY scc) AS size FROM scc), i AS (SELECT a.scc, a.size, bool_and(e.src % 2 = 0) AS typed FROM e JOIN s a ON e.src = a.node JOIN s b ON e.dst = b.node AND a.scc = b.scc WHERE a.size > 1 GROUP BY ALL)
+SELECT scc, size, CASE WHEN typed THEN 'shared-type' WHEN scc IN (SELECT scc FROM s WHERE node % 6 = 0) THEN 'barrel' ELSE 'genuine' END AS kind FROM i""")
+def cycle_kind(spark: SparkSession, d: str) -> DataFrame:
+    """Edges from even nodes stand in for type-only imports, multiples of six for barrels."""
+    nodes, edges = nation_edges(spark, d, (7, 3))
+    return graph.classify_cycles(graph.cycles(nodes, edges), edges.withColumn("type_only", F.col("src") % 2 == 0), nodes.where("node % 6 = 0"))
+
+
+LEVEL_SQL = "WITH RECURSIVE t AS (SELECT 0::BIGINT AS node, 0 AS level UNION ALL SELECT n_nationkey, level + 1 FROM t JOIN nation ON (n_nationkey - 1) // 2 = t.node AND n_nationkey > 0)"
+
+
+@query(LEVEL_SQL + " SELECT node, level FROM t")
+def topo_levels(spark: SparkSession, d: str) -> DataFrame:
+    return graph.levels(*nation_tree(spark, d))
+
+
+@query(LEVEL_SQL + ", k AS (SELECT node, level, CASE WHEN node % 2 = 0 THEN 'component' ELSE 'module' END AS kind FROM t) SELECT node, CAST(dense_rank() OVER (ORDER BY level, CASE kind WHEN 'component' THEN 2 ELSE 3 END) AS INT) AS phase, kind FROM k")
+def phase_plan(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = nation_tree(spark, d)
+    return graph.phases(nodes, edges, F.when(F.col("node") % 2 == 0, "component").otherwise("module"))
+
+
+@query("""WITH f AS (SELECT 'src/' || p_brand || CASE p_size % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' WHEN 2 THEN '/index.ts' ELSE '.md' END AS path FROM part),
+c AS (SELECT DISTINCT p_brand AS spec, unnest(['.ts', '.tsx', '.js', '.jsx', '/index.ts', '/index.tsx', '/index.js']) AS e, unnest(range(1, 8)) AS k FROM part)
+SELECT 'src/main.ts' AS src, arg_min('src/' || spec || e, k) AS dst, false AS type_only FROM c WHERE 'src/' || spec || e IN (SELECT path FROM f) GROUP BY spec""")
+def candidate_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Brands stand in for modules; their sizes settle which endings exist."""
+    part = table(spark, d, "part")
+    end = F.element_at(F.array(*map(F.lit, (".ts", ".tsx", "/index.ts", ".md"))), F.col("p_size") % 4 + 1)
+    files = part.select(F.concat(F.lit("src/"), "p_brand", end).alias("path")).distinct()
+    specs = part.select(F.lit("src/main.ts").alias("path"), F.concat(F.lit("./"), "p_brand").alias("spec"), F.lit(False).alias("type_only")).distinct()
+    return project.resolve(specs, files)
+
+
+@query("SELECT url, regexp_matches(url, 'example\\.(com|org)/.*/[^/]*1[^/]*') AS matched, contains(lower(url), 'blog') AS in_flow FROM pages")
+def route_glob(spark: SparkSession, d: str) -> DataFrame:
+    hit = F.col("url").rlike(tx.glob_pattern("example.com/**/*1*")) | F.col("url").rlike(tx.glob_pattern("example.org/**/*1*"))
+    return table(spark, d, "pages").select("url", hit.alias("matched"), F.lower("url").contains("blog").alias("in_flow"))
+
+
+@query("""WITH a AS (SELECT p_partkey AS k, [p_size % 2, p_size % 3, p_partkey % 2, p_partkey % 3, len(p_type) % 2, len(p_brand) % 2] AS x FROM part WHERE p_partkey < 60)
+SELECT p.k AS a, q.k AS b, CAST(list_sum(list_transform(range(1, 7), lambda i: (p.x[i] <> q.x[i])::INT)) AS INT) AS differ FROM a p JOIN a q ON p.k < q.k AND p.k // 3 = q.k // 3""")
+def axis_divergence(spark: SparkSession, d: str) -> DataFrame:
+    """Axes of the first 20 groups of three directions, derived from parts: how many of six axes each pair of a group differs on."""
+    axes = F.array(*(x.cast("int") for x in (F.col("p_size") % 2, F.col("p_size") % 3, F.col("p_partkey") % 2, F.col("p_partkey") % 3, F.length("p_type") % 2, F.length("p_brand") % 2)))
+    a = table(spark, d, "part").where("p_partkey < 60").select(F.col("p_partkey").alias("k"), axes.alias("x"), F.floor(F.col("p_partkey") / 3).alias("g"))
+    b = a.select(F.col("k").alias("k2"), F.col("x").alias("y"), "g")
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: (p != q).cast("int")), F.lit(0), lambda t, v: t + v)
+    return a.join(b, "g").where("k < k2").select(F.col("k").alias("a"), F.col("k2").alias("b"), differ.alias("differ"))
+
+
+@query("SELECT user_id, CAST(floor(avg(value)) AS BIGINT) % 41 AS score, CASE WHEN CAST(floor(avg(value)) AS BIGINT) % 41 >= 36 THEN 'excellent' WHEN CAST(floor(avg(value)) AS BIGINT) % 41 >= 28 THEN 'good' WHEN CAST(floor(avg(value)) AS BIGINT) % 41 >= 20 THEN 'acceptable' WHEN CAST(floor(avg(value)) AS BIGINT) % 41 >= 12 THEN 'poor' ELSE 'critical' END AS band FROM events GROUP BY user_id")
+def score_bands(spark: SparkSession, d: str) -> DataFrame:
+    score = F.floor(F.avg("value")).cast("long") % 41
+    rows = table(spark, d, "events").groupBy("user_id").agg(score.alias("score"))
+    s = F.col("score")
+    return rows.withColumn("band", F.when(s >= 36, "excellent").when(s >= 28, "good").when(s >= 20, "acceptable").when(s >= 12, "poor").otherwise("critical"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def props_variant(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
+
+
+@query("""WITH p AS (SELECT unnest(['alpha', 'beta']) AS provider, unnest(['Alpha', 'Beta']) AS shown)
+SELECT provider, 'doc-' || doc_id AS name, 'Doc ' || doc_id AS title, md5(regexp_replace(substr(text, 1, 40) || chr(10) || CASE WHEN provider = 'beta' THEN chr(10) ELSE '' END || 'For ' || shown || '.' || chr(10) || CASE WHEN provider = 'alpha' THEN chr(10) ELSE '' END || 'end', '\n{3,}', chr(10) || chr(10), 'g')) AS body_md5 FROM documents, p""")
+def skill_field_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Document beginnings stand in for skill texts; each gets a block for either provider."""
+    body = F.concat(F.substring("text", 1, 40), F.lit("\n<alpha>\nFor {{name}}.\n</alpha>\n<beta>\nFor {{name}}.\n</beta>\nend"))
+    skills = table(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("name"), F.lit("").alias("description"), body.alias("body"))
+    providers = spark.createDataFrame([("alpha", "alpha", {"name": "Alpha"}), ("beta", "beta", {"name": "Beta"})], "provider string, tag string, values map<string,string>")
+    return documents.compiled(skills, providers, ["alpha", "beta"]).select("provider", "name", "title", F.md5("body").alias("body_md5"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -1 +1 @@
-
+"""Readers of source trees and writers of reports."""
