@@ -72,11 +72,17 @@ class Recent(dict):
         value = self.old.pop(key, None)
         if value is None:
             value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
+
+    def knows(self, key) -> bool:
+        return key in self or key in self.old
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -21,10 +21,11 @@ PART = 1 << 16
 #: Bytes that one call of the library gets.
 BATCH_BYTES = 1 << 18
 #: Chunks whose count a worker remembers, up to twice as many.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 
 _SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 _CHUNK = re.compile(r"\s*\S+|\s+\Z")
+_PLAIN = re.compile("(?!.*<\\|) [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff][!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 _ODD_BLANKS = re.compile("[\x1c-\x1f]")
 
 
@@ -49,7 +50,9 @@ class Counter:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known = Recent(lambda chunk: 0, CACHE_CHUNKS)
+        self.known = Recent(lambda chunk: self._lengths([chunk])[0], CACHE_CHUNKS)
+        self.begins = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
+        self.begins[[i for t, i in self.library.get_vocab().items() if t[0] == "\u0120"]] = True  # how byte-level vocabularies write a space
         pre = self.library.pre_tokenizer
         #: Other kinds of vocabulary are counted part by part without chunks.
         self.by_chunk = type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and self.library.normalizer is None
@@ -67,6 +70,22 @@ class Counter:
                 held += len(x)
         return out
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Count new chunks: plain ones (a space, a letter, no blanks) go to the library in a row and are cut where a token begins with the space."""
+        rest = []
+        plain = [c for c in chunks if _PLAIN.fullmatch(c) or rest.append(c)]
+        for k in range(0, len(plain), 4096):
+            some = plain[k : k + 4096]
+            ids = np.array(self.library.encode("".join(some), add_special_tokens=False).ids)
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(some) and (not some or at[0] == 0):
+                for c, n in zip(some, np.diff(at, append=len(ids)).tolist(), strict=True):
+                    self.known.put(c, n)
+            else:
+                rest += some
+        for c, n in zip(rest, self._lengths(rest), strict=True):
+            self.known.put(c, n)
+
     def counts(self, texts: list[str]) -> np.ndarray:
         """The number of tokens of each whole text."""
         out = np.zeros(len(texts), np.int64)
@@ -77,12 +96,9 @@ class Counter:
                 whole.append((k, text))
                 continue
             parts += [(k, _CHUNK.findall(p)) for p in safe_parts(text)]
-        known, old = self.known, self.known.old
-        new = list({c for _, cs in parts for c in cs if c not in known and c not in old})
-        fresh = dict(zip(new, self._lengths(new), strict=True))
-        known.make = fresh.__getitem__
+        self._learn(list({c for _, cs in parts for c in cs if not self.known.knows(c)}))
         for k, cs in parts:
-            out[k] += sum(map(known.__getitem__, cs))
+            out[k] += sum(map(self.known.__getitem__, cs))
         for (k, _), n in zip(whole, self._lengths([t for _, t in whole]), strict=True):
             out[k] += n
         return out
