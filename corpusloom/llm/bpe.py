@@ -197,6 +197,11 @@ def folded(text: str) -> str:
     return text.lower()
 
 
+def plain_words(chunk: str) -> list[str]:
+    """The words that a contraction-splitting vocabulary makes of a plain lower-case chunk; none if it isn't plain."""
+    return _PLAIN_WORD.findall(chunk) if _PLAIN.fullmatch(chunk) and "<|" not in chunk and chunk == chunk.lower() else []
+
+
 def segments(text: str, most: int = 1 << 20) -> Iterator[str]:
     """Parts of a long text, cut at blanks."""
     at = 0

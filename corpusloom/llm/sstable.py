@@ -31,14 +31,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 
 from ._shared import Recent, Workspace, bound_arrow, text_slices
-from .bpe import chunks, folded, segments
+from .bpe import chunks, folded, plain_words, segments
 
 MAGIC = b"CLOOMST1"
 #: Bytes of entries that make a block full, and of a shard's file that make it full.
 BLOCK_BYTES = 1 << 18
 SHARD_BYTES = 1 << 27
 FILTER_BITS, FILTER_HASHES = 10, 7
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 150_000
 _FOOTER = struct.Struct("<QQQQB8s")
 
 
@@ -156,7 +156,11 @@ class Reader:
 
 
 class _Encoder:
-    """Whole texts to ids by the tokenizers library; chunks that a worker has met before are not encoded again."""
+    """Whole texts to ids by the tokenizers library; words that a worker has met before are not encoded again.
+
+    Only for vocabularies whose tokens never reach over blanks and which mark the end of a word (word_bpe_49k). New plain words
+    go to the library many at a time, one blank between them; its ids are cut after each token that ends a word.
+    """
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
@@ -167,16 +171,35 @@ class _Encoder:
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 and end < 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.end = np.array([end], self.kind).tobytes()
-        self.known = Recent(lambda chunk: b"", CACHE_CHUNKS)
+        self.ends_word = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
+        self.ends_word[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+        self.words = Recent(self._one, CACHE_CHUNKS)
+        self.chunks = Recent(self._chunk, CACHE_CHUNKS)
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join([self.words[w] for w in plain_words(chunk) or [chunk]])
+
+    def _learn(self, words: list[str]) -> None:
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        cuts = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(cuts) != len(words):
+            return  # not as plain as they looked: they go one by one
+        raw, at = ids.tobytes(), 0
+        for w, cut in zip(words, (cuts * self.width).tolist(), strict=True):
+            self.words.put(w, raw[at:cut])
+            at = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, the end id last. Only for vocabularies whose tokens never reach over blanks (word_bpe_49k)."""
+        """The ids of each text, the end id last."""
         split = [[c for part in segments(x) for c in chunks(folded(part))] for x in texts]
-        known, old = self.known, self.known.old
-        new = list({c for cs in split for c in cs if c not in known and c not in old})
-        got = (np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False))
-        known.make = dict(zip(new, got, strict=True)).__getitem__
-        return [b"".join([*map(known.__getitem__, cs), self.end]) for cs in split]
+        new = {c for cs in split for c in cs if not self.chunks.knows(c)}
+        words = [w for w in {w for c in new for w in plain_words(c)} if not self.words.knows(w)]
+        for k in range(0, len(words), 4096):
+            self._learn(words[k : k + 4096])
+        return [b"".join([*map(self.chunks.__getitem__, cs), self.end]) for cs in split]
 
 
 _ENCODERS: dict[tuple[str, int], _Encoder] = {}
