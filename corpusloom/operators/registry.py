@@ -156,7 +156,7 @@ def palette(registry: DataFrame) -> DataFrame:
     hue = F.pmod(F.degrees(F.atan2(y, x)) + 360, F.lit(360.0))
     whole = rows.agg(F.floor(hue + 0.5).cast("int").alias("avg_hue"), mean(F.col("c.s")).alias("avg_saturation"), mean(F.col("c.l")).alias("avg_lightness"))
     family = rows.where(vivid).groupBy(co.hue_family(F.col("c.h")).alias("f")).agg(F.sum("usages").alias("n")).agg(F.max_by("f", F.struct("n", "f")).alias("f"))
-    return whole.join(family, how="cross").select("avg_hue", "avg_saturation", "avg_lightness", F.coalesce("f", F.lit("neutral")).alias("dominant"))
+    return whole.join(family, how="cross").select("avg_hue", "avg_saturation", "avg_lightness", F.coalesce("f", F.lit("neutral")).alias("dominant_hue"))
 
 
 #: Font families that are the platform's own.

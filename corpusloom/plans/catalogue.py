@@ -176,7 +176,7 @@ def hue_family(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH u AS (SELECT l_partkey, count(*) AS w FROM lineitem GROUP BY 1), c AS (SELECT w, hue, s, l, {FAMILY_SQL} AS family FROM {HSL_SQL} JOIN u ON l_partkey = p_partkey)
 SELECT CAST(floor(((degrees(atan2(sum(CASE WHEN s > 0.1 THEN sin(radians(hue)) * w ELSE 0 END), sum(CASE WHEN s > 0.1 THEN cos(radians(hue)) * w ELSE 0 END))) + 360) % 360) + 0.5) AS INT) AS avg_hue,
   floor(sum(s * w) / sum(w) * 100 + 0.5) / 100 AS avg_saturation, floor(sum(l * w) / sum(w) * 100 + 0.5) / 100 AS avg_lightness,
-  (SELECT family FROM (SELECT family, sum(w) AS n FROM c WHERE s > 0.1 GROUP BY 1 ORDER BY n DESC, family DESC LIMIT 1)) AS dominant FROM c""")
+  (SELECT family FROM (SELECT family, sum(w) AS n FROM c WHERE s > 0.1 GROUP BY 1 ORDER BY n DESC, family DESC LIMIT 1)) AS dominant_hue FROM c""")
 def palette_circular_mean(spark: SparkSession, d: str) -> DataFrame:
     used = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("usages"))
     return registry.palette(used.select(derived_hex(F.col("l_partkey")).alias("hex"), "usages"))
