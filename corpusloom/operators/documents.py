@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -182,3 +182,69 @@ def compiled(skills: DataFrame, providers: DataFrame, known: list[str]) -> DataF
         one = skills.select(F.lit(p.provider).alias("provider"), "name", tx.humanized(F.col("name")).alias("title"), tx.clip(F.col("description")).alias("description"), body.alias("body"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def subsections(docs: DataFrame) -> DataFrame:
+    """section_lines() with sub, the level-3 heading above each line (null before the first)."""
+    rows = section_lines(docs)
+    head = F.nullif(tx.strip_bold(F.regexp_extract("content", r"^###\s+(.+?)\s*$", 1)), F.lit(""))
+    w = Window.partitionBy("path", "section").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("sub", F.last(head, ignorenulls=True).over(w)).where(head.isNull())
+
+
+def items(docs: DataFrame) -> DataFrame:
+    """path, section, sub, line, text of every bullet in a section, with the lines that continue it."""
+    rows = subsections(docs).withColumn("place", F.to_json(F.struct("path", "section", "sub")))
+    found = bullets(rows, "place")
+    where = F.from_json("place", "path string, section string, sub string")
+    return found.select(where.path.alias("path"), where.section.alias("section"), where.sub.alias("sub"), F.col("first_line").alias("line"), "text")
+
+
+#: The words that make a component's bullet a variant, not a property.
+VARIANT = r"(?i)^(primary|secondary|tertiary|ghost|hover|focus|active|disabled|default|error|selected|unselected|state)\b"
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """path, component, key, value, is_variant of the bold-keyed bullets under each component's heading."""
+    own = items(docs).where("section = 'Components' and sub is not null")
+    pattern = r"^\*\*(.+?):?\*\*:?\s*(.+)$"
+    key = F.trim(tx.strip_bold(F.regexp_extract("text", pattern, 1)))
+    rows = own.withColumn("key", key).where("key <> ''")
+    variant = F.col("key").rlike(VARIANT)
+    return rows.select("path", F.col("sub").alias("component"), F.when(variant, F.col("key")).otherwise(F.lower("key")).alias("key"), F.trim(tx.strip_bold(F.regexp_extract("text", pattern, 2))).alias("value"), variant.alias("is_variant"))
+
+
+def advice(docs: DataFrame) -> DataFrame:
+    """path, kind (do, dont), text of the bullets in Do's and Don'ts, by the heading above them or their first word; each text once."""
+    own = items(docs).where(F.col("section") == SECTIONS[-1]).withColumn("text", F.trim(tx.strip_bold(F.col("text"))))
+    plain, head = tx.straight_quotes(F.col("text")), F.coalesce(tx.straight_quotes(F.col("sub")), F.lit(""))
+    kind = F.when(head.rlike(r"(?i)^don'?ts?:?$") | plain.rlike(r"(?i)^don'?t\b"), "dont").when(head.rlike(r"(?i)^do'?s?:?$") | plain.rlike(r"(?i)^do\b"), "do")
+    return own.select("path", kind.alias("kind"), plain.alias("text")).where("kind is not null").distinct()
+
+
+def fonts(docs: DataFrame) -> DataFrame:
+    """path, role, family, fallback of the fonts that the Typography section names; headline counts as display, ui as body."""
+    own = subsections(docs).where("section = 'Typography'").select("path", F.col("content").alias("text"))
+    found = own.select("path", F.regexp_extract("text", r"\*\*([\w\s/]+?)Font:\*\*\s*([^\n(]+?)(?:\s*\(with\s+([^)]+)\))?\s*$", 0).alias("m"), *(F.trim(F.regexp_extract("text", r"\*\*([\w\s/]+?)Font:\*\*\s*([^\n(]+?)(?:\s*\(with\s+([^)]+)\))?\s*$", k)).alias(n) for k, n in ((1, "role"), (2, "family"), (3, "fallback"))))
+    words = F.split(F.lower("role"), r"[-/&\s]+")
+    role = F.coalesce(*(F.when(F.array_contains(words, w), F.lit(r)) for w, r in (("display", "display"), ("headline", "display"), ("body", "body"), ("ui", "body"), ("label", "label"), ("mono", "mono"))), F.lit("display"))
+    return found.where("m <> ''").select("path", role.alias("role"), "family", F.nullif("fallback", F.lit("")).alias("fallback"))
+
+
+def type_scale(docs: DataFrame) -> DataFrame:
+    """path, name, specs, purpose of the bullets under a hierarchy heading in Typography."""
+    own = items(docs).where((F.col("section") == "Typography") & F.col("sub").rlike("(?i)hierarch"))
+    part = lambda k: F.trim(F.regexp_extract("text", r"^\*\*(.+?)\*\*\s*\(([^)]+)\):\s*(.*)$", k))
+    return own.where(part(1) != "").select("path", part(1).alias("name"), F.split(part(2), r"\s*,\s*").alias("specs"), F.nullif(tx.strip_bold(part(3)), F.lit("")).alias("purpose"))
+
+
+def shadows(docs: DataFrame) -> DataFrame:
+    """path, name, value of the shadows in Elevation: bold-named bullets and box-shadow declarations in any line; each once."""
+    own = items(docs).where("section = 'Elevation'")
+    part = lambda k: F.trim(F.regexp_extract("text", r"^\*\*(.+?)\*\*\s*\(`?([^`]+?)`?\):\s*(.*)$", k))
+    value = F.trim(F.regexp_replace(part(2), r"(?i)^box-shadow:\s*", ""))
+    named = own.select("path", tx.strip_bold(part(1)).alias("name"), value.alias("value")).where(F.col("value").rlike(r"(?i)box-shadow|rgba?\(|\bpx\b|\brem\b|px|^-?\d+\s") & F.col("value").rlike(r"\d"))
+    inline = subsections(docs).where("section = 'Elevation'").select("path", F.explode(F.regexp_extract_all("content", F.lit(r"(?i)box-shadow\s*:\s*([^`;\n]+)"), F.lit(1))).alias("value"))
+    inline = inline.select("path", F.lit(None).cast("string").alias("name"), F.trim(F.when(F.col("value").contains("("), F.regexp_replace("value", r"[`.]+$", "")).otherwise(F.regexp_replace("value", r"[`.)]+$", ""))).alias("value")).where("value <> ''")
+    inline = inline.join(named.select("path", "value"), ["path", "value"], "left_anti").select("path", "name", "value")
+    return named.unionByName(inline).distinct()

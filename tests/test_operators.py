@@ -70,7 +70,7 @@ def test_violations(spark):
     c = corpus(spark, a_tsx=code, theme_ts="x = '#abc'")
     got = rows(rules.violations(c), "kind", "value", "nearest", "line")
     assert got == [("inline-color", "#abc", None, 2), ("inline-color", "tomato", None, 2), ("magic-fontsize", "fontSize: 15", "type.md", 2), ("magic-radius", "borderRadius: 7", "radii.md", 2), ("magic-spacing", "padding: 13", "spacing.md", 2)]
-    assert rows(rules.violation_totals(rules.violations(c)), "path", "kind", "n")[-1] == (None, None, 5) or (None, None, 5) in rows(rules.violation_totals(rules.violations(c)), "path", "kind", "n")
+    assert (None, None, 5) in rows(rules.violation_totals(rules.violations(c)), "path", "kind", "n")
 
 
 def test_a11y(spark):
@@ -196,7 +196,7 @@ def test_token_graph(spark):
     scores = tokens.pair_scores(cells)
     assert rows(scores, "a", "b", "jaccard", "bonus") == [("c.onPress", "c.press", 0.5, 0.2)]
     found, tau = tokens.clusters(cells, scores)
-    assert tau == 0.8 or dict(rows(found, "token", "cluster"))["c.press"] == "c.onPress"
+    assert tau == 0.8 and dict(rows(found, "token", "cluster")) == {"c.press": "c.press", "c.onPress": "c.onPress", "c.else": "c.else"}  # one held over half, so tau rose
     assert rows(tokens.consumers(cells), "token", "in_files", "only_outside")[0] == ("c.else", 0, True)
 
 
@@ -224,3 +224,43 @@ def test_empty_tables(spark):
     for df in (extract.literals(none), rules.parity(none), rules.violations(none), a11y.audit(none), project.import_graph(none), documents.colors(none)):
         assert df.count() == 0
     assert graph.components(none.select(F.col("path").alias("node")), none.select(F.col("path").alias("src"), F.col("text").alias("dst"))).count() == 0
+
+
+DESIGN = """# T
+
+## Typography
+**Display Font:** Inter (with sans-serif)
+**UI Font:** Roboto
+
+### Hierarchy
+- **Title** (24px, bold): heads
+
+## Elevation
+- **Soft** (`box-shadow: 0 1px 2px rgba(0,0,0,.2)`): cards
+Use a hard shadow `box-shadow: 0 4px 8px black;` here.
+
+## Components
+### Button
+- **Primary:** blue
+- **Shape:** round
+
+## Do’s and Don’ts
+### Do
+- **Keep** it calm
+- Don't shout
+"""
+
+
+def test_sections(spark):
+    c = corpus(spark, d_md=DESIGN)
+    assert rows(documents.fonts(c), "role", "family", "fallback") == [("body", "Roboto", None), ("display", "Inter", "sans-serif")]
+    assert rows(documents.type_scale(c), "name", "specs", "purpose") == [("Title", ["24px", "bold"], "heads")]
+    assert rows(documents.components(c), "component", "key", "value", "is_variant") == [("Button", "Primary", "blue", True), ("Button", "shape", "round", False)]
+    assert rows(documents.advice(c), "kind", "text") == [("do", "Keep it calm"), ("dont", "Don't shout")]
+    assert rows(documents.shadows(c), "name", "value") == [("Soft", "0 1px 2px rgba(0,0,0,.2)"), (None, "0 4px 8px black")]
+
+
+def test_rewrite_report(spark):
+    edits = rewrite.promote_number(corpus(spark, a_ts="padding: 16, padding: 16", b_ts="padding: 16"), "padding", "16", "s.lg")
+    r = rewrite.report(edits, 2).first()
+    assert (r.edits, r.files, r.rejected) == (3, 2, 0) and "### numeric-promote" in r.markdown and "- `a.ts:1` `padding: 16` -> `padding: s.lg`" in r.markdown
