@@ -248,3 +248,26 @@ def shadows(docs: DataFrame) -> DataFrame:
     inline = inline.select("path", F.lit(None).cast("string").alias("name"), F.trim(F.when(F.col("value").contains("("), F.regexp_replace("value", r"[`.]+$", "")).otherwise(F.regexp_replace("value", r"[`.)]+$", ""))).alias("value")).where("value <> ''")
     inline = inline.join(named.select("path", "value"), ["path", "value"], "left_anti").select("path", "name", "value")
     return named.unionByName(inline).distinct()
+
+
+def _plain(value: Any) -> str:
+    if value is None or isinstance(value, bool):
+        return {None: "null", True: "true", False: "false"}[value]
+    if not isinstance(value, str):
+        return str(value)
+    risky = value == "" or re.search(r"^\s|\s\Z|^[\[\]{},&*!|>'\"%@`#]|^[?:-](\s|\Z)|: |\s#|:\Z", value) or re.fullmatch(r"(?i)true|false|null|yes|no|on|off|~|-?\d+(\.\d+)?(e[+-]?\d+)?", value)
+    return '"' + value.replace("\\", "\\\\").replace('"', '\\"') + '"' if risky else value
+
+
+def write_yaml(value: Any, depth: int = 0) -> str:
+    """What parse_yaml reads: maps, lists of scalars and of maps, scalars quoted where they would read as something else."""
+    pad, out = "  " * depth, []
+    if isinstance(value, dict):
+        for k, v in value.items():
+            nested = isinstance(v, dict | list) and v
+            out.append(f"{pad}{k}:\n{write_yaml(v, depth + 1)}" if nested else f"{pad}{k}: {'null' if isinstance(v, dict | list) else _plain(v)}")
+    else:
+        for v in value:
+            body = write_yaml(v, depth + 1) if isinstance(v, dict) else _plain(v)
+            out.append(f"{pad}- {body.lstrip()}")
+    return "\n".join(out)

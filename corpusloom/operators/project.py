@@ -115,3 +115,18 @@ def owned_skills(skills: DataFrame, lock: DataFrame, source: str, word: str) ->
 
 def clean_lock(lock: DataFrame, gone: DataFrame) -> DataFrame:
     return lock.join(gone.select("name"), "name", "left_anti")
+
+
+def skill_bundles(files: DataFrame) -> DataFrame:
+    """name, body, references, scripts, agents (arrays of name, content, by name) of each skill folder: <skill>/SKILL.md and the files in its sub-folders."""
+    parts = F.split("path", "/")
+    rows = files.where(F.size(parts) >= 2).select(F.element_at(parts, 1).alias("name"), F.when(F.size(parts) > 2, F.element_at(parts, 2)).alias("kind"), F.element_at(parts, -1).alias("file"), "text")
+    pick = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct(F.col("file").alias("name"), F.col("text").alias("content")))))
+    found = rows.groupBy("name").agg(F.max(F.when(F.col("kind").isNull() & (F.col("file") == "SKILL.md"), F.col("text"))).alias("body"), pick("reference").alias("references"), pick("scripts").alias("scripts"), pick("agents").alias("agents"))
+    return found.where("body is not null")
+
+
+def deprecated_targets(names: DataFrame, folders: DataFrame, existing: DataFrame, prefixes: tuple[str, ...] = ("", "i-")) -> DataFrame:
+    """path: every folder/prefix+name that exists; names, folders and prefixes are configuration, so their product is small."""
+    product = names.select("name").crossJoin(folders.select("folder")).select(F.explode(F.array(*(F.concat("folder", F.lit("/"), F.lit(p), "name") for p in prefixes))).alias("path"))
+    return existing.join(F.broadcast(product.distinct()), "path", "left_semi").select("path")

@@ -264,3 +264,16 @@ def test_rewrite_report(spark):
     edits = rewrite.promote_number(corpus(spark, a_ts="padding: 16, padding: 16", b_ts="padding: 16"), "padding", "16", "s.lg")
     r = rewrite.report(edits, 2).first()
     assert (r.edits, r.files, r.rejected) == (3, 2, 0) and "### numeric-promote" in r.markdown and "- `a.ts:1` `padding: 16` -> `padding: s.lg`" in r.markdown
+
+
+def test_yaml_round_trip():
+    value = {"name": "Demo: x", "n": 3, "f": 0.5, "yes": "yes", "none": None, "list": ["a", "1", {"k": "v", "m": "x #y"}], "deep": {"a": {"b": True}}}
+    assert documents.parse_yaml(documents.write_yaml(value)) == value
+
+
+def test_skill_bundles(spark):
+    files = [("s/SKILL.md", "body"), ("s/reference/b.md", "B"), ("s/reference/a.md", "A"), ("s/scripts/x.mjs", "X"), ("t/reference/z.md", "Z")]
+    r = project.skill_bundles(spark.createDataFrame(files, "path string, text string")).collect()
+    assert [(x.name, x.body, [y.name for y in x.references], len(x.scripts), x.agents) for x in r] == [("s", "body", ["a.md", "b.md"], 1, [])]
+    one = lambda c, *v: spark.createDataFrame([(x,) for x in v], f"{c} string")
+    assert rows(project.deprecated_targets(one("name", "old"), one("folder", ".x", ".y"), one("path", ".x/old", ".y/i-old", ".y/new")), "path") == [(".x/old",), (".y/i-old",)]
