@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color as co
 from ..functions.text import round_half_up
+from .sequence import firsts
 
 LOCATIONS = 20
 
@@ -18,13 +19,13 @@ LOCATIONS = 20
 def inventory(found: DataFrame, least: int = 3, most: int = LOCATIONS) -> DataFrame:
     """value, n, locations (the first `most` by path and line) of values that occur `least` times or more, most frequent first.
 
-    found: value, path, line. The locations are taken from a bounded sorted list per value and task (map-side), so a value that
-    occurs everywhere gathers no long list.
+    found: value, path, line. Counts combine before the shuffle, and so does the limit on locations: a value that occurs
+    everywhere sends few rows.
     """
-    place = F.struct("path", "line")
-    ranked = found.groupBy("value", "path", "line").agg(F.count("*").alias("k"))
-    firsts = ranked.groupBy("value").agg(F.sum("k").alias("n"), F.slice(F.array_sort(F.collect_list(place)), 1, most).alias("locations"))
-    return firsts.where(F.col("n") >= least).orderBy(F.col("n").desc(), "value")
+    counts = found.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    places = firsts(found.select("value", "path", "line").distinct(), ["value"], ["path", "line"], most)
+    locations = places.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("path", "line"))).alias("locations"))
+    return counts.join(locations, "value").orderBy(F.col("n").desc(), "value")
 
 
 def first_location(found: DataFrame, least: int = 3) -> DataFrame:

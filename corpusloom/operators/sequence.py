@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def firsts(rows: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
+    """The first `most` rows of each group. The limit also holds in each task before the shuffle, so a hot group sends few rows."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
+
+
 def neighbors(rows: DataFrame, target: str, by: str = "path", order: str = "pos", value: str = "tag", reach: int = 4) -> DataFrame:
     """by, order, before, after: the values up to `reach` places around each target; the target itself drops out after the cut."""
     w = Window.partitionBy(by).orderBy(order)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import round_half_up
 from . import graph
+from .sequence import firsts
 
 
 def matrix(refs: DataFrame, scope: DataFrame) -> DataFrame:
@@ -24,9 +25,13 @@ def seeded(cells: DataFrame, definitions: DataFrame) -> DataFrame:
 def consumers(cells: DataFrame, most: int = 10) -> DataFrame:
     """token, in_files, out_files (distinct files), out_sample (the first `most`), only_outside."""
     by_file = cells.groupBy("token", "file").agg(F.bool_or("in_scope").alias("in_scope"))
-    ranked = by_file.withColumn("k", F.row_number().over(Window.partitionBy("token", "in_scope").orderBy("file")))
-    sample = F.array_sort(F.collect_list(F.when(~F.col("in_scope") & (F.col("k") <= most), F.col("file"))))
-    return ranked.groupBy("token").agg(F.count_if("in_scope").alias("in_files"), F.count_if(~F.col("in_scope")).alias("out_files"), sample.alias("out_sample"), (~F.bool_or("in_scope")).alias("only_outside"))
+    counts = by_file.groupBy("token").agg(F.count_if("in_scope").alias("in_files"), F.count_if(~F.col("in_scope")).alias("out_files"), (~F.bool_or("in_scope")).alias("only_outside"))
+    return counts.join(_sample(by_file.where(~F.col("in_scope")), most, "out_sample"), "token", "left").select("token", "in_files", "out_files", F.coalesce("out_sample", F.array()).alias("out_sample"), "only_outside")
+
+
+def _sample(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """token and an array of its first files."""
+    return firsts(rows.select("token", "file"), ["token"], ["file"], most).groupBy("token").agg(F.array_sort(F.collect_list("file")).alias(name))
 
 
 def naming_bonus(a: Column, b: Column) -> Column:
@@ -96,11 +101,12 @@ def sparse_top(cells: DataFrame, most: int = 200) -> DataFrame:
 
 def blast_radius(cells: DataFrame, targets: DataFrame, most: int = 20) -> DataFrame:
     """token, hits (anywhere), other_files (distinct files outside the targets), sample: of the tokens that target files (path) use."""
-    flagged = cells.join(targets.select(F.col("path").alias("file")).distinct().withColumn("own", F.lit(True)), "file", "left")
-    ranked = flagged.withColumn("k", F.row_number().over(Window.partitionBy("token", F.col("own").isNull()).orderBy("file")))
+    own = targets.select(F.col("path").alias("file")).distinct().withColumn("own", F.lit(True))
+    by_file = cells.groupBy("token", "file").agg(F.sum("n").alias("n")).join(own, "file", "left")
     other = F.col("own").isNull()
-    out = ranked.groupBy("token").agg(F.sum("n").alias("hits"), F.count_if(other).alias("other_files"), F.bool_or("own").alias("used"), F.array_sort(F.collect_list(F.when(other & (F.col("k") <= most), F.col("file")))).alias("sample"))
-    return out.where("used").select("token", "hits", "other_files", "sample").orderBy(F.col("other_files").desc(), "token")
+    counts = by_file.groupBy("token").agg(F.sum("n").alias("hits"), F.count_if(other).alias("other_files"), F.bool_or("own").alias("used")).where("used")
+    out = counts.join(_sample(by_file.where(other), most, "sample"), "token", "left")
+    return out.select("token", "hits", "other_files", F.coalesce("sample", F.array()).alias("sample")).orderBy(F.col("other_files").desc(), "token")
 
 
 def earliest_phase(found: DataFrame, cells: DataFrame, phases: DataFrame) -> DataFrame:
@@ -110,7 +116,7 @@ def earliest_phase(found: DataFrame, cells: DataFrame, phases: DataFrame) -> Dat
 
 def theming(signals: DataFrame, most: int = 10) -> DataFrame:
     """approach, rank, files, evidence (path:line, the first `most`), chosen: the best approach of all; vanilla signals count only if nothing else is there."""
-    ranked = signals.withColumn("k", F.row_number().over(Window.partitionBy("approach").orderBy("path")))
-    tally = ranked.groupBy("approach", "rank").agg(F.count("*").alias("files"), F.array_sort(F.collect_list(F.when(F.col("k") <= most, F.concat_ws(":", "path", "line")))).alias("evidence"))
+    shown = firsts(signals, ["approach"], ["path"], most).groupBy("approach").agg(F.array_sort(F.collect_list(F.concat_ws(":", "path", "line"))).alias("evidence"))
+    tally = signals.groupBy("approach", "rank").agg(F.count("*").alias("files")).join(shown, "approach")
     best = tally.agg(F.min_by("approach", "rank").alias("best"))
     return tally.join(F.broadcast(best), how="cross").select("approach", "rank", "files", "evidence", (F.col("approach") == F.col("best")).alias("chosen"))
