@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +82,8 @@ class Recent(dict):
             self.clear()
         self[key] = value
 
-    def knows(self, key) -> bool:
-        return key in self or key in self.old
+    def unknown(self, keys) -> list:
+        return list(filterfalse(self.old.__contains__, filterfalse(self.__contains__, keys)))
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,8 @@ MAGIC = b"CLOOMST1"
 BLOCK_BYTES = 1 << 18
 SHARD_BYTES = 1 << 27
 FILTER_BITS, FILTER_HASHES = 10, 7
-CACHE_CHUNKS = 150_000
+#: Words whose ids a worker remembers, up to twice as many.
+CACHE_WORDS = 300_000
 _FOOTER = struct.Struct("<QQQQB8s")
 
 
@@ -173,15 +174,11 @@ class _Encoder:
         self.end = np.array([end], self.kind).tobytes()
         self.ends_word = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
         self.ends_word[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
-        self.words = Recent(self._one, CACHE_CHUNKS)
-        self.chunks = Recent(self._chunk, CACHE_CHUNKS)
+        self.words = Recent(self._one, CACHE_WORDS)
 
     def _one(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join([self.words[w] for w in plain_words(chunk) or [chunk]])
-
     def _learn(self, words: list[str]) -> None:
         ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
         cuts = np.flatnonzero(self.ends_word[ids]) + 1
@@ -194,12 +191,29 @@ class _Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, the end id last."""
-        split = [[c for part in segments(x) for c in chunks(folded(part))] for x in texts]
-        new = {c for cs in split for c in cs if not self.chunks.knows(c)}
-        words = [w for w in {w for c in new for w in plain_words(c)} if not self.words.knows(w)]
-        for k in range(0, len(words), 4096):
-            self._learn(words[k : k + 4096])
-        return [b"".join([*map(self.chunks.__getitem__, cs), self.end]) for cs in split]
+        split = [[w for part in segments(x) for w in prose(part) or self._words(part)] for x in texts]
+        words = self.words.unknown(set().union(*split))
+        plain = [w for w in words if w.isalpha() and w.islower() and max(w) < "\u0100"]
+        for k in range(0, len(plain), 4096):
+            self._learn(plain[k : k + 4096])
+        return [b"".join([*map(self.words.__getitem__, ws), self.end]) for ws in split]
+
+    def _words(self, text: str) -> list[str]:
+        """The words of a text that isn't prose: those of its chunks, or a chunk as it is where it isn't plain."""
+        return [w for c in chunks(folded(text)) for w in plain_words(c) or [c]]
+
+
+def prose(text: str) -> list[str] | None:
+    """The words of a text of Latin-1 letters, blanks and lone full stops and commas only, found without patterns; None for other texts."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    low = text.lower()
+    rest = low.replace(".", "").replace(",", "").replace(" ", "").replace("\n", "")
+    if not rest.isalpha() or any(pair in low for pair in ("..", ",,", ".,", ",.")):
+        return None
+    return low.replace(".", " . ").replace(",", " , ").split()
 
 
 _ENCODERS: dict[tuple[str, int], _Encoder] = {}

@@ -96,7 +96,7 @@ class Counter:
                 whole.append((k, text))
                 continue
             parts += [(k, _CHUNK.findall(p)) for p in safe_parts(text)]
-        self._learn(list({c for _, cs in parts for c in cs if not self.known.knows(c)}))
+        self._learn(self.known.unknown(set().union(*(cs for _, cs in parts))))
         for k, cs in parts:
             out[k] += sum(map(self.known.__getitem__, cs))
         for (k, _), n in zip(whole, self._lengths([t for _, t in whole]), strict=True):
