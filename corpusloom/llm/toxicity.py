@@ -15,13 +15,14 @@ their terms are hashed on the executors. Scoring reads whole texts in numpy, onl
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ALNUM, Workspace, add_columns, mixed, utf8, word_hashes, word_spans
+from ._shared import ALNUM, Workspace, add_columns, mixed, text_slices, utf8, word_hashes, word_spans
 
 BITS = 20
 FACTORS = 8
@@ -30,6 +31,8 @@ SAMPLE = 12_000
 #: Word beginnings, in bytes, that are terms of their own.
 STEMS = (4, 5, 6, 7, 8)
 EPOCHS = 8
+#: Terms that are learnt at most (the strongest; chance leaves far fewer), and tasks that the sample is dealt to.
+MOST_TERMS, SPREAD = 20_000, 24
 #: G squared that a term's association with the label must exceed to be learnt (chance alone: one term in 200,000).
 EVIDENCE = 21.0
 
@@ -70,20 +73,16 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.bias + linear + 0.5 * cross, -30, 30)))
 
 
-def association(flat: np.ndarray, y_of: np.ndarray, n: int, y: np.ndarray) -> np.ndarray:
-    """G squared of each term's presence and the label, over n terms: how far the documents with it differ from all."""
-    df = np.bincount(flat, minlength=n).astype(float)
-    pos = np.bincount(flat, y_of, n)
-
-    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
-
-    p, rest = y.mean(), len(y) - df
-    return 2 * (part(pos, df * p) + part(df - pos, df * (1 - p)) + part(y.sum() - pos, rest * p) + part(rest - (y.sum() - pos), rest * (1 - p)))
+def evidence(df: Column, pos: Column, n: int, positives: int) -> Column:
+    """G squared of a term's presence (in df of n documents, pos of them positive) and the label."""
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    p = positives / n
+    rest, rest_pos = n - df, positives - pos
+    return 2 * (part(pos, df * p) + part(df - pos, df * (1 - p)) + part(rest_pos, rest * p) + part(rest - rest_pos, rest * (1 - p)))
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> Machine:
-    """Learn from rows of distinct cells. Without both labels the machine gives their mean (or 0) for all texts."""
+    """Learn from rows of distinct cells that are worth it. Without both labels the machine gives their mean (or 0) for all texts."""
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         p = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
@@ -91,10 +90,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
     rng = np.random.default_rng(seed)
     cells, flat = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]), return_inverse=True)
     bounds = np.cumsum([0, *map(len, rows)])
-    told = association(flat, np.repeat(y, np.diff(bounds)), len(cells), y) > EVIDENCE
-    place = np.cumsum(told) - 1
-    rows = [place[x[told[x]]] for x in (flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))]
-    cells = cells[told]
+    rows = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     alpha, beta, l1, l2 = 0.5, 1.0, 0.1, 0.1
     z, n = np.zeros(len(cells)), np.zeros(len(cells))
     v, g2 = rng.normal(0, 0.01, (len(cells), factors)), np.full((len(cells), factors), 1e-3)
@@ -125,27 +121,58 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, allowed: Column | None = None) -> Machine:
     """A machine from the labels (doc_id, label) of docs; rows without text or label are left out; a doc_id with several labels has the largest."""
     space = Workspace(docs.sparkSession, "toxicity")
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label)).alias("y"))
-    known = known.where(allowed) if allowed is not None else known
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)  # some have no text
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    known = (known.where(allowed) if allowed is not None else known).join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = space.keep(texts.repartition(SPREAD), "sample")  # of bounded size, so all of it can be dealt out
+    total = texts.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
+    if not total.n or total.p in (0, total.n):
+        return fit([np.zeros(0, np.int64)] * total.n, np.full(total.n, int(bool(total.p))))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, pos = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for part in text_slices(batch):
+                row, cell = _distinct(part)
+                df += np.bincount(cell, minlength=1 << BITS)
+                pos += np.bincount(cell[np.asarray(part.column("y"))[row] > 0], minlength=1 << BITS)
+        at = np.flatnonzero(df)
+        for k in range(0, len(at), 10_000):
+            some = at[k : k + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some]), pa.array(pos[some])], ["cell", "df", "pos"])
+
+    counts = texts.mapInArrow(count, "cell long, df long, pos long").groupBy("cell").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
+    strong = counts.withColumn("g", evidence(F.col("df"), F.col("pos"), total.n, total.p)).where(F.col("g") > EVIDENCE)
+    told = np.zeros(1 << BITS, bool)
+    told[[r.cell for r in strong.orderBy(F.col("g").desc(), "cell").limit(MOST_TERMS).select("cell").collect()]] = True
+    told_cells = np.flatnonzero(told)
 
     def make():
+        told = np.zeros(1 << BITS, bool)
+        told[told_cells] = True
+
         def work(part: pa.RecordBatch) -> list:
-            row, cell = terms(part.column("text"))
-            pair = np.unique((row << BITS) + cell)
-            at = np.searchsorted(pair >> BITS, np.arange(part.num_rows + 1))
-            cell = (pair & ((1 << BITS) - 1)).astype(np.int32)
+            row, cell = _distinct(part)
+            live = told[cell]
+            row, cell = row[live], cell[live].astype(np.int32)
+            at = np.searchsorted(row, np.arange(part.num_rows + 1))
             return [[cell[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]]
 
         return work
 
-    hashed = add_columns(texts, make, "cells binary").select("doc_id", "y", "cells")
-    rows = space.keep(hashed, "sample").orderBy(F.xxhash64("doc_id"), "doc_id", "cells").limit(sample).collect()
+    rows = add_columns(texts, make, "cells binary").select("doc_id", "y", "cells").collect()  # `sample` rows at most, strong terms only
     space.drop()
+    rows.sort(key=lambda r: (r.doc_id, r.cells))
     return fit([np.frombuffer(r.cells, np.int32).astype(np.int64) for r in rows], np.array([r.y for r in rows]))
 
 
+def _distinct(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Row and cell of each distinct term of each text, in order."""
+    row, cell = terms(part.column("text"))
+    return np.divmod(np.unique((row << BITS) + cell), 1 << BITS)
+
+
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= 0.5) for every row (in place of columns of these names).
 
