@@ -16,6 +16,7 @@ from ..functions import color as co
 from ..functions import text as tx
 from ..operators import documents, extract, graph, project, registry, rewrite, rules, sequence, tokens
 from ..sources import corpus as src
+from ..sources.space import Space
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,6 +55,11 @@ def token_cells(spark: SparkSession, d: str) -> DataFrame:
     return items.groupBy(F.col("p_brand").alias("token"), F.col("l_orderkey").alias("file"), (F.col("o_orderstatus") == "F").alias("in_scope")).agg(F.count("*").alias("n"))
 
 
+def order_cells(spark: SparkSession, d: str) -> DataFrame:
+    """token_cells, written once: clusters read them several times."""
+    return Space(spark, "token-cells").keep(token_cells(spark, d), "cells")
+
+
 def small_cells(spark: SparkSession, d: str) -> DataFrame:
     """token: a brand, file: a part size, in_scope: sizes up to 25. Every part once."""
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("token"), F.col("p_size").alias("file"), (F.col("p_size") <= 25).alias("in_scope")).agg(F.count("*").alias("n"))
@@ -223,8 +229,7 @@ def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
 TAU = 0.62
 
 
-def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    cells = small_cells(spark, d)
+def _clusters(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     scores = tokens.pair_scores(cells)
     found = graph.components(cells.select(F.col("token").alias("node")).distinct(), scores.where(F.round(F.col("jaccard") + F.col("bonus"), 9) >= TAU).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     return cells, scores, found.select(F.col("node").alias("token"), F.col("comp").alias("cluster"))
@@ -236,27 +241,62 @@ near AS (SELECT DISTINCT token AS t, token AS r FROM own UNION SELECT near.t, ed
 
 @query(COMP_SQL + " SELECT token, cluster FROM comp")
 def token_components(spark: SparkSession, d: str) -> DataFrame:
-    return _clusters(spark, d)[2]
+    return _clusters(small_cells(spark, d))[2]
 
 
 @query(COMP_SQL + """, sized AS (SELECT cluster, count(*) AS tokens FROM comp GROUP BY 1), inner_ AS (SELECT x.cluster, sum(jaccard + bonus) AS total FROM scores JOIN comp x ON a = x.token JOIN comp y ON b = y.token AND x.cluster = y.cluster GROUP BY 1)
 SELECT cluster, tokens, CASE WHEN tokens = 1 THEN 1.0 ELSE floor(round(least(1.0, coalesce(total, 0) / (tokens * (tokens - 1) / 2)), 9) * 100 + 0.5) / 100 END AS strength FROM sized LEFT JOIN inner_ USING (cluster)""")
 def cluster_strength(spark: SparkSession, d: str) -> DataFrame:
-    _, scores, found = _clusters(spark, d)
+    _, scores, found = _clusters(small_cells(spark, d))
     return tokens.strength(found, scores)
 
 
 @query(COMP_SQL + """, u AS (SELECT cluster, file, sum(n) AS n FROM cells JOIN comp USING (token) WHERE in_scope GROUP BY ALL)
 SELECT cluster, CAST(rank AS INT) AS rank, file, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, file) AS rank FROM u) WHERE rank <= 5""")
 def cluster_top_files(spark: SparkSession, d: str) -> DataFrame:
-    cells, _, found = _clusters(spark, d)
+    cells, _, found = _clusters(small_cells(spark, d))
     return tokens.top_files(found, cells)
 
 
 @query(COMP_SQL + " SELECT cluster, CAST(min(file % 7) AS BIGINT) AS phase FROM cells JOIN comp USING (token) GROUP BY 1")
 def cluster_earliest_phase(spark: SparkSession, d: str) -> DataFrame:
     """A file's phase is its size modulo 7, as a stand-in."""
-    cells, _, found = _clusters(spark, d)
+    cells, _, found = _clusters(small_cells(spark, d))
+    phases = cells.select(F.col("file").alias("node"), F.pmod(F.col("file").cast("long"), F.lit(7)).alias("phase")).distinct()
+    return tokens.earliest_phase(found, cells, phases)
+
+
+def over_orders(name: str) -> str:
+    """The SQL of a query over small cells, over the cells of all line items and orders."""
+    return SQL[name].replace(SMALL_SQL, CELLS_SQL)
+
+
+@query(over_orders("token_jaccard"))
+def token_jaccard_orders(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.pair_scores(order_cells(spark, d)).select("a", "b", F.round("jaccard", 6).alias("jaccard"), "bonus")
+
+
+@query(over_orders("token_components"))
+def token_components_orders(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(order_cells(spark, d))[2]
+
+
+@query(over_orders("cluster_strength"))
+def cluster_strength_orders(spark: SparkSession, d: str) -> DataFrame:
+    _, scores, found = _clusters(order_cells(spark, d))
+    return tokens.strength(found, scores)
+
+
+@query(over_orders("cluster_top_files"))
+def cluster_top_files_orders(spark: SparkSession, d: str) -> DataFrame:
+    cells, _, found = _clusters(order_cells(spark, d))
+    return tokens.top_files(found, cells)
+
+
+@query(over_orders("cluster_earliest_phase"))
+def cluster_earliest_phase_orders(spark: SparkSession, d: str) -> DataFrame:
+    """An order's phase is its key modulo 7, as a stand-in."""
+    cells, _, found = _clusters(order_cells(spark, d))
     phases = cells.select(F.col("file").alias("node"), F.pmod(F.col("file").cast("long"), F.lit(7)).alias("phase")).distinct()
     return tokens.earliest_phase(found, cells, phases)
 
