@@ -537,9 +537,19 @@ def route_glob(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH a AS (SELECT p_partkey AS k, [p_size % 2, p_size % 3, p_partkey % 2, p_partkey % 3, len(p_type) % 2, len(p_brand) % 2] AS x FROM part WHERE p_partkey < 60)
 SELECT p.k AS a, q.k AS b, CAST(list_sum(list_transform(range(1, 7), lambda i: (p.x[i] <> q.x[i])::INT)) AS INT) AS differ FROM a p JOIN a q ON p.k < q.k AND p.k // 3 = q.k // 3""")
 def axis_divergence(spark: SparkSession, d: str) -> DataFrame:
-    """Axes of the first 20 groups of three directions, derived from parts: how many of six axes each pair of a group differs on."""
+    """The first 20 groups of axis_divergence_all."""
+    return _divergence(table(spark, d, "part").where("p_partkey < 60"))
+
+
+@query(SQL["axis_divergence"].replace(" WHERE p_partkey < 60", ""))
+def axis_divergence_all(spark: SparkSession, d: str) -> DataFrame:
+    """Axes of groups of three directions, derived from parts: how many of six axes each pair of a group differs on."""
+    return _divergence(table(spark, d, "part"))
+
+
+def _divergence(part: DataFrame) -> DataFrame:
     axes = F.array(*(x.cast("int") for x in (F.col("p_size") % 2, F.col("p_size") % 3, F.col("p_partkey") % 2, F.col("p_partkey") % 3, F.length("p_type") % 2, F.length("p_brand") % 2)))
-    a = table(spark, d, "part").where("p_partkey < 60").select(F.col("p_partkey").alias("k"), axes.alias("x"), F.floor(F.col("p_partkey") / 3).alias("g"))
+    a = part.select(F.col("p_partkey").alias("k"), axes.alias("x"), F.floor(F.col("p_partkey") / 3).alias("g"))
     b = a.select(F.col("k").alias("k2"), F.col("x").alias("y"), "g")
     differ = F.aggregate(F.zip_with("x", "y", lambda p, q: (p != q).cast("int")), F.lit(0), lambda t, v: t + v)
     return a.join(b, "g").where("k < k2").select(F.col("k").alias("a"), F.col("k2").alias("b"), differ.alias("differ"))
