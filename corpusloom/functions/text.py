@@ -137,7 +137,7 @@ def provider_blocks(text: Column, active: list[str], known: list[str]) -> Column
     for tag in known:
         block = rf"(^|\r?\n)[ \t]*<{tag}>[ \t]*\r?\n([\s\S]*?)\r?\n[ \t]*</{tag}>[ \t]*(?=\r?\n|\z)"
         out = F.regexp_replace(out, block, "$1$2" if tag in active else "$1")
-    return F.when(out == text, text).otherwise(F.regexp_replace(out, r"(?:\r?\n){3,}", "\n\n"))
+    return F.when(out == text, text).otherwise(F.regexp_replace(out, r"(?:\r?\n){3,}+", "\n\n"))  # possessive: long runs take no stack
 
 
 def placeholders(text: Column, values: dict[str, str]) -> Column:

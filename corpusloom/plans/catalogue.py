@@ -571,8 +571,19 @@ def props_variant(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH p AS (SELECT unnest(['alpha', 'beta']) AS provider, unnest(['Alpha', 'Beta']) AS shown)
 SELECT provider, 'doc-' || doc_id AS name, 'Doc ' || doc_id AS title, md5(regexp_replace(substr(text, 1, 40) || chr(10) || CASE WHEN provider = 'beta' THEN chr(10) ELSE '' END || 'For ' || shown || '.' || chr(10) || CASE WHEN provider = 'alpha' THEN chr(10) ELSE '' END || 'end', '\n{3,}', chr(10) || chr(10), 'g')) AS body_md5 FROM documents, p""")
 def skill_field_projection(spark: SparkSession, d: str) -> DataFrame:
-    """Document beginnings stand in for skill texts; each gets a block for either provider."""
-    body = F.concat(F.substring("text", 1, 40), F.lit("\n<alpha>\nFor {{name}}.\n</alpha>\n<beta>\nFor {{name}}.\n</beta>\nend"))
+    """The beginnings of documents stand in for skill texts."""
+    return _projection(spark, d, F.substring("text", 1, 40))
+
+
+@query(SQL["skill_field_projection"].replace("substr(text, 1, 40)", "text"))
+def skill_text_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents stand in for skill texts."""
+    return _projection(spark, d, F.col("text"))
+
+
+def _projection(spark: SparkSession, d: str, text: Column) -> DataFrame:
+    """Each text gets a block for either provider."""
+    body = F.concat(text, F.lit("\n<alpha>\nFor {{name}}.\n</alpha>\n<beta>\nFor {{name}}.\n</beta>\nend"))
     skills = table(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("name"), F.lit("").alias("description"), body.alias("body"))
     providers = spark.createDataFrame([("alpha", "alpha", {"name": "Alpha"}), ("beta", "beta", {"name": "Beta"})], "provider string, tag string, values map<string,string>")
     return documents.compiled(skills, providers, ["alpha", "beta"]).select("provider", "name", "title", F.md5("body").alias("body_md5"))
