@@ -303,6 +303,22 @@ def test_simhash_links_are_whole(spark):
     assert {p: got.get(p, p) for p in signed} == want
 
 
+def test_long_chains_are_one_component(spark, monkeypatch):
+    """Chains whose ids are in random order, far longer than rounds can follow link by link."""
+    from corpusloom.llm import buckets
+    from corpusloom.llm._shared import Workspace
+
+    ids = list(range(40_000))
+    random.Random(5).shuffle(ids)
+    chains = [ids[:20_000], ids[20_000:39_000], ids[39_000:]]
+    df = spark.createDataFrame([p for c in chains for p in zip(c, c[1:], strict=False)], "a long, b long")
+    got = {r.node: r.comp for r in buckets.components(df, Workspace(spark, "test"), "chains").collect()}
+    assert got == {k: min(c) for c in chains for k in c}
+    monkeypatch.setattr(buckets, "ROUNDS", 2, raising=False)
+    with pytest.raises(RuntimeError):
+        buckets.components(df, Workspace(spark, "test"), "chains")
+
+
 # BPE
 
 
