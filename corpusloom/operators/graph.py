@@ -1,8 +1,9 @@
-"""Graphs as edge tables: components, reachability, cycles, levels, phases. Iterations are bounded and each is written, so lineage stays short."""
+"""Graphs as edge tables: components, reachability, cycles, levels, phases. Fixpoints are bounded, levels and hops go on until nothing is left; each round is written, so lineage stays short."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def reach(seeds: DataFrame, edges: DataFrame, most: int | None = None) -> DataFr
     space = Space(edges.sparkSession, "reach")
     edges = space.keep(edges.select("src", "dst").distinct(), "edges")
     seen = space.keep(seeds.select("node", F.lit(0).alias("hops")).distinct(), "seen-0")
-    for k in range(1, (most if most is not None else ROUNDS) + 1):
+    for k in count(1) if most is None else range(1, most + 1):
         fresh = seen.where(F.col("hops") == k - 1).join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         new = space.keep(seen.unionByName(fresh.select("node", F.lit(k).alias("hops"))), f"seen-{k}")
         space.drop(f"seen-{k - 1}")
@@ -105,16 +106,16 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edges = space.keep(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
     need = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("need"))
     waiting = space.keep(nodes.select("node").distinct().join(need, "node", "left").select("node", F.coalesce("need", F.lit(0)).alias("need")), "waiting-0")
-    done = None
-    for k in range(ROUNDS):
+    found = []
+    for k in count():
         ready = space.keep(waiting.where("need = 0").select("node", F.lit(k).alias("level")), f"ready-{k}")
         if ready.limit(1).count() == 0:
             break
-        done = ready if done is None else done.unionByName(ready)
+        found.append(f"{space.root}/ready-{k}")
         met = edges.join(ready.select(F.col("node").alias("dst")), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("met"))
         waiting = space.keep(waiting.where("need > 0").join(met, "node", "left").select("node", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need")), f"waiting-{k + 1}")
         space.drop(f"waiting-{k}")
-    return done if done is not None else nodes.select("node", F.lit(0).alias("level")).limit(0)
+    return space.spark.read.schema(ready.schema).parquet(*found) if found else ready
 
 
 def fan_out(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -277,3 +277,15 @@ def test_skill_bundles(spark):
     assert [(x.name, x.body, [y.name for y in x.references], len(x.scripts), x.agents) for x in r] == [("s", "body", ["a.md", "b.md"], 1, [])]
     one = lambda c, *v: spark.createDataFrame([(x,) for x in v], f"{c} string")
     assert rows(project.deprecated_targets(one("name", "old"), one("folder", ".x", ".y"), one("path", ".x/old", ".y/i-old", ".y/new")), "path") == [(".x/old",), (".y/i-old",)]
+
+
+def test_levels_and_hops_go_to_the_end(spark, monkeypatch):
+    """Chains longer than the bound of fixpoints."""
+    monkeypatch.setattr(graph, "ROUNDS", 3)
+    nodes = spark.createDataFrame([(k,) for k in range(8)], "node long")
+    edges = spark.createDataFrame([(k + 1, k) for k in range(7)], "src long, dst long")
+    assert {r.node: r.level for r in graph.levels(nodes, edges).collect()} == {k: k for k in range(8)}
+    back = edges.select(edges.dst.alias("src"), edges.src.alias("dst"))
+    assert {r.node: r.hops for r in graph.reach(nodes.where("node = 0"), back).collect()} == {k: k for k in range(8)}
+    assert {r.node: r.phase for r in graph.phases(nodes, edges).collect()} == {k: k + 1 for k in range(8)}
+    assert graph.levels(nodes.limit(0), edges.limit(0)).count() == 0
