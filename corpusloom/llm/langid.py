@@ -85,6 +85,16 @@ class Codes:
         return self.langs[order[0]], float(p[order[0]] / p.sum()), bool(lead < LEAD)
 
 
+def held_back(langs: list[str]) -> np.ndarray:
+    """Every fifth row of each language, however the rows are ordered."""
+    seen: dict[str, int] = {}
+    nth = np.zeros(len(langs), np.int64)
+    for i, lang in enumerate(langs):
+        nth[i] = seen.get(lang, 0)
+        seen[lang] = nth[i] + 1
+    return nth % 5 == 4  # the fifth, not the first: a language of few rows is learnt from all
+
+
 def fit(rows: np.ndarray, langs: list[str], steps: int = 300) -> Codes:
     """Learn from gram frequencies (square roots, a row for each text) and their languages."""
     names = sorted(set(langs))
@@ -92,7 +102,7 @@ def fit(rows: np.ndarray, langs: list[str], steps: int = 300) -> Codes:
     if len(names) < 2:
         return Codes(names, code, np.zeros((1 << BITS, code.shape[1])), np.full(code.shape[1], 5.0), np.ones(code.shape[1]))
     y = code[np.searchsorted(names, langs)]
-    back = np.arange(len(rows)) % 5 == 0
+    back = held_back(langs)
     w, bias = np.zeros((rows.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     x, t = rows[~back].astype(np.float32), y[~back].astype(np.float32)
     if not len(x):

@@ -145,6 +145,15 @@ def test_language(spark):
     assert langid.identify(empty(spark), codes).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 10])
+def test_each_language_is_learnt_and_held_back(n):
+    """Rows in turns, as learn() orders them."""
+    langs = [f"l{k}" for k in range(n)] * 40
+    back = langid.held_back(langs)
+    assert [sum(b for b, x in zip(back, langs, strict=True) if x == f"l{k}") for k in range(n)] == [8] * n
+    assert not langid.held_back(["rare", "other"]).any()
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 9, 30])
 def test_codewords_are_apart(n):
     code = langid.codewords(n)
