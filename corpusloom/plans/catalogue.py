@@ -314,10 +314,9 @@ def size_leader_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def color_leader_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Colors of a coarse grid of the cube, derived from part keys (512 at most, whatever the table's size)."""
-    level = lambda k: F.pmod(F.floor(F.col("p_partkey") / k), F.lit(8)) * 32
-    used = table(spark, d, "part").groupBy(co.rgb_hex(level(1), level(8), level(64)).alias("hex")).agg(F.count("*").alias("usages"))
-    return registry.color_clusters(used, 12.0).select("id", "leader", F.size("members").alias("members"), "usage")
+    """The derived colors of all parts, at the operator's own threshold."""
+    used = table(spark, d, "part").groupBy(derived_hex(F.col("p_partkey")).alias("hex")).agg(F.count("*").alias("usages"))
+    return registry.color_clusters(used).select("id", "leader", F.size("members").alias("members"), "usage")
 
 
 @query("""WITH t AS (SELECT count(*) AS n, count(*) FILTER (l_quantity % 4 = 0) AS b4, count(*) FILTER (l_quantity % 5 = 0) AS b5, count(*) FILTER (l_quantity % 8 = 0) AS b8, count(*) FILTER (l_quantity % 10 = 0) AS b10 FROM lineitem)
