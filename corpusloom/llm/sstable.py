@@ -19,6 +19,7 @@ reports count, so lost executors and repeated tasks leave at most files that nob
 from __future__ import annotations
 
 import bisect
+import json
 import struct
 import uuid
 import zlib
@@ -28,18 +29,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ._shared import Recent, Workspace, bound_arrow, text_slices
-from .bpe import chunks, folded, plain_words, segments
+from ._shared import Workspace, bound_arrow, text_slices, utf8
+from .words import Lexicon, check_vocabulary, segments
 
 MAGIC = b"CLOOMST1"
 #: Bytes of entries that make a block full, and of a shard's file that make it full.
 BLOCK_BYTES = 1 << 18
 SHARD_BYTES = 1 << 27
 FILTER_BITS, FILTER_HASHES = 10, 7
-#: Words whose ids a worker remembers, up to twice as many.
-CACHE_WORDS = 300_000
 _FOOTER = struct.Struct("<QQQQB8s")
 
 
@@ -159,74 +162,72 @@ class Reader:
 class _Encoder:
     """Whole texts to ids by the tokenizers library; words that a worker has met before are not encoded again.
 
-    Only for vocabularies whose tokens never reach over blanks and which mark the end of a word (word_bpe_49k). New plain words
-    go to the library many at a time, one blank between them; its ids are cut after each token that ends a word.
+    Only for vocabularies whose tokens never reach over blanks and which mark the end of a word (word_bpe_49k). New words go to the
+    library many at a time, one blank between them; its ids are cut after each token that ends a word.
     """
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        check_vocabulary(spec)
+        mark = spec["model"]["end_of_word_suffix"]
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 and end < 1 << 16 else 4
+        vocab = self.library.get_vocab()
+        self.width = 2 if max(*vocab.values(), end) < 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.end = np.array([end], self.kind).tobytes()
-        self.ends_word = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
-        self.ends_word[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
-        self.words = Recent(self._one, CACHE_WORDS)
-
-    def _one(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
-        cuts = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(cuts) != len(words):
-            return  # not as plain as they looked: they go one by one
-        raw, at = ids.tobytes(), 0
-        for w, cut in zip(words, (cuts * self.width).tolist(), strict=True):
-            self.words.put(w, raw[at:cut])
-            at = cut
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, the end id last."""
-        split = [[w for part in segments(x) for w in prose(part) or self._words(part)] for x in texts]
-        words = self.words.unknown(set().union(*split))
-        plain = [w for w in words if w.isalpha() and w.islower() and max(w) < "\u0100"]
-        for k in range(0, len(plain), 4096):
-            self._learn(plain[k : k + 4096])
-        return [b"".join([*map(self.words.__getitem__, ws), self.end]) for ws in split]
-
-    def _words(self, text: str) -> list[str]:
-        """The words of a text that isn't prose: those of its chunks, or a chunk as it is where it isn't plain."""
-        return [w for c in chunks(folded(text)) for w in plain_words(c) or [c]]
-
-
-def prose(text: str) -> list[str] | None:
-    """The words of a text of Latin-1 letters, blanks and lone full stops and commas only, found without patterns; None for other texts."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return None
-    low = text.lower()
-    rest = low.replace(".", "").replace(",", "").replace(" ", "").replace("\n", "")
-    if not rest.isalpha() or any(pair in low for pair in ("..", ",,", ".,", ",.")):
-        return None
-    return low.replace(".", " . ").replace(",", " , ").split()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith(mark)]] = True
+        self.words = Lexicon(self._learn, self._ids)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got, sizes = [], []
+        for k in range(0, len(words), 4096):
+            some = words[k : k + 4096]
+            ids = self._ids(b" ".join(some).decode())
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cuts) == len(some):
+                got.append(ids)
+                sizes.append(np.diff(cuts, prepend=0))
+            else:  # not as plain as they looked: they go one by one
+                one = [self._ids(w.decode()) for w in some]
+                got += one
+                sizes.append(np.array(list(map(len, one))))
+        return np.concatenate(got), np.concatenate(sizes)
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text, the end id last; a long text goes by in parts."""
+        if len(column) == 1:
+            parts = [self.words.ids(*self.words.slots(*utf8(pa.array([x]))))[0].astype(self.kind).tobytes() for x in segments(column[0].as_py() or "")]
+            return [b"".join([*parts, self.end])]
+        ids, bounds = self.words.ids(*self.words.slots(*utf8(column)))
+        raw, cuts = ids.astype(self.kind).tobytes(), (bounds * self.width).tolist()
+        return [raw[a:b] + self.end for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _ENCODERS: dict[tuple[str, int], _Encoder] = {}
-_MANIFEST = "path string, first_key binary, docs long, ids long"
+_MANIFEST = "part int, nth int, path string, docs long, ids long"
+#: Code points of a text by which rows of one id are dealt to tasks.
+TIE_CHARS = 64
 
 
 def write(docs: DataFrame, path: str, folder: str, end: int = 1) -> DataFrame:
-    """Encode docs and write shards of them, in ascending doc_id (rows of one id by text), under folder; path, first_key, docs, ids, and start of each shard.
+    """Encode docs and write shards of them, in ascending doc_id, under folder; path, start (ids of all shards before), docs and ids of each shard.
 
-    Null texts are empty: their document is the end id alone. The manifest has a row for each shard of about SHARD_BYTES.
+    Rows of one id stand in the order of their texts and may fill several tasks, where the texts' beginnings differ; rows without an id
+    come first. Null and empty texts are a document of the end id alone. Other columns are left out; an empty table has no shards.
+    The manifest, a row for each shard of about SHARD_BYTES, is written to the folder and summed up there, not on the driver.
     """
     spark = docs.sparkSession
     bound_arrow(spark)
+    kinds = to_arrow_schema(StructType.fromDDL(_MANIFEST))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path, end) not in _ENCODERS:
@@ -235,15 +236,16 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 1) -> DataFrame:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         now: Writer | None = None
-        name, made = "", 0
+        name, made, task = "", 0, TaskContext.get().partitionId()
 
         def done() -> pa.RecordBatch:
             now.close()
-            return pa.RecordBatch.from_pydict({"path": [name], "first_key": [now.index[0][0]], "docs": pa.array([now.docs], pa.int64()), "ids": pa.array([now.ids], pa.int64())})
+            row = {"part": [task], "nth": [made], "path": [name], "docs": [now.docs], "ids": [now.ids]}
+            return pa.RecordBatch.from_pydict(row, schema=kinds)
 
         for batch in batches:
             for part in text_slices(batch):
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), own.encode([x or "" for x in part.column("text").to_pylist()]), strict=True):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), own.encode(part.column("text")), strict=True):
                     if now is None:
                         name, made = f"{root}/{made:06d}-{uuid.uuid4().hex}.sst", made + 1  # one key may fill several shards of a task
                         now = Writer(store.open_output_stream(name), own.width)
@@ -255,18 +257,18 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 1) -> DataFrame:
             yield done()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    shards = ordered.mapInArrow(run, _MANIFEST).collect()  # a row for each shard
-    shards.sort(key=lambda s: (bytes(s.first_key), s.path))
-    start, rows = 0, []
-    for s in shards:
-        rows.append((s.path, start, s.docs, s.ids))
-        start += s.ids
-    return spark.createDataFrame(rows, "path string, start long, docs long, ids long")
+    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", F.substring("text", 1, TIE_CHARS)).sortWithinPartitions("doc_id", "text")
+    ordered.mapInArrow(run, _MANIFEST).write.parquet(f"{folder}/manifest")
+    before = Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard: small
+    shards = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
+    return shards.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"), "docs", "ids")
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of all ids as little-endian u32) of every document of the shards."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of all ids as little-endian u32) of every document of the shards.
+
+    manifest: path and start of each shard, as write() gives them. Each shard is read in one pass, block by block; no shards give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
@@ -294,7 +296,7 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def written_and_read(docs: DataFrame, path: str, end: int = 1) -> DataFrame:
-    """write() to the shared folder, then read()."""
+    """write() to the shared folder, then read(): a row for every row of docs, with the cases as told there."""
     space = Workspace(docs.sparkSession, "sstable")
     return read(write(docs, path, space.root, end), space.root)
 
