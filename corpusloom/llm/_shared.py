@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -86,6 +87,35 @@ class Recent(dict):
         return list(filterfalse(self.old.__contains__, filterfalse(self.__contains__, keys)))
 
 
+def least_hashed(rows: DataFrame, group: str, most: int, groups: int, space: Workspace) -> DataFrame:
+    """group, doc_id, k: the `most` ids of least hash in each group of rows (group, doc_id), k from 1 in their order; of more groups than `groups` the largest.
+
+    No group is ranked whole: ids under a share of the hashes are kept, which is raised for a group until enough are under it; the few that are
+    left are ranked. An id counts once, however often it is repeated.
+    """
+    spark, top = rows.sparkSession, (1 << 63) - 1
+    rows = rows.select(F.col(group).alias("g"), "doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h"))
+    sizes = rows.groupBy("g").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.col("n").desc(), "g").limit(groups).collect()
+    share = {r.g: min(1.0, 2.0 * most / max(1, r.n)) for r in sizes}
+    parts, k = [], 0
+    todo = dict(share)
+    while todo:
+        cuts = spark.createDataFrame([(g, min(top, int(x * top))) for g, x in todo.items()], rows.select("g", F.col("h").alias("cut")).schema)
+        some = rows.join(F.broadcast(cuts), "g").where("h <= cut").select("g", "doc_id", "h").distinct()  # a row of cuts for each group
+        some = space.keep(some, f"few-{k}")
+        found = {r.g: r["count"] for r in some.groupBy("g").count().collect()}
+        short = [g for g, x in todo.items() if found.get(g, 0) < most and x < 1]
+        parts.append(some.join(F.broadcast(spark.createDataFrame([(g,) for g in short], some.select("g").schema)), "g", "left_anti") if short else some)
+        todo, k = {g: min(1.0, 8 * todo[g]) for g in short}, k + 1
+    if not parts:
+        return rows.select(F.col("g").alias(group), "doc_id", F.lit(1).alias("k")).limit(0)
+    few = parts[0]
+    for p in parts[1:]:
+        few = few.union(p)
+    ranked = few.groupBy("g").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "doc_id"))), 1, most).alias("x"))
+    return ranked.select(F.col("g").alias(group), F.posexplode("x").alias("k", "x")).select(group, "x.doc_id", (F.col("k") + 1).alias("k"))
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch, of about equal bytes of the column: `most` at most, or one row."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)

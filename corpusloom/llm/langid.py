@@ -5,8 +5,9 @@ Each language has a codeword; each bit of it is predicted by a binary logistic c
 logistic losses of its bits, each weighted by how well that classifier did on rows kept back from its fit, and chooses
 the least; the score is the softmax of the negated losses, and a small lead over the second flags the text as ambiguous.
 
-The classifiers learn from at most SAMPLE rows a language (the smallest hashes of doc_id; a bound for the driver's
-memory), whose n-gram counts the executors make. Whole texts are scored, by table look-ups for all n-grams in numpy.
+The classifiers learn from at most SAMPLE ids a language (the smallest hashes of doc_id) and ROWS in all, of the LANGS largest languages:
+bounds for the driver's memory. The executors make their n-gram counts. Whole texts are scored, by table look-ups for all n-grams in numpy;
+a text goes by whole, so a worker needs about 100 bytes for each byte of the longest one.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Workspace, add_columns, mixed
+from ._shared import Workspace, add_columns, least_hashed, mixed
 
 BITS = 13
-#: Rows of a language that are learnt from at most (with 64 times as many rows in all).
-SAMPLE = 400
+#: Rows that are learnt from at most: of a language, and in all (16 KB each on the driver); languages that are learnt at most.
+SAMPLE, ROWS, LANGS = 400, 6000, 500
 #: Lead of the best codeword in mean loss a bit below which a text is ambiguous.
 LEAD = 0.15
 UNKNOWN = "und"
@@ -119,13 +120,19 @@ def fit(rows: np.ndarray, langs: list[str], steps: int = 300) -> Codes:
 
 
 def learn(docs: DataFrame, allowed: Column | None = None, sample: int = SAMPLE) -> Codes:
-    """Codes learnt from the rows of docs with text, lang and doc_id that are allowed."""
+    """Codes learnt from the rows of docs with text, lang and doc_id that are allowed.
+
+    An id counts once in a language, whatever its repeats: with its text of least hash. More than LANGS languages: the largest. An
+    empty table, or one without languages, gives codes that call every text `und`.
+    """
     space = Workspace(docs.sparkSession, "langid")
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    known = known.where(allowed) if allowed is not None else known
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("lang", "doc_id", "k")
-    texts = known.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"])
+    known = (known.where(allowed) if allowed is not None else known).select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
+    chosen = space.keep(least_hashed(known, "lang", sample, LANGS, space), "chosen")
+    langs = chosen.select("lang").distinct().count()
+    chosen = chosen.where(F.col("k") <= max(1, ROWS // max(1, langs)))
+    texts = known.join(F.broadcast(chosen), ["lang", "doc_id"])  # ROWS at most
+    texts = texts.groupBy("lang", "doc_id", "k").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def make():
         def work(part: pa.RecordBatch) -> list:
@@ -137,8 +144,9 @@ def learn(docs: DataFrame, allowed: Column | None = None, sample: int = SAMPLE)
 
         return work
 
-    made = space.keep(add_columns(texts, make, "cells binary").where("cells is not null").select("lang", "doc_id", "k", "cells"), "sample")
-    rows = made.where(F.col("k") <= sample).orderBy("k", "lang", "cells").limit(64 * sample).collect()
+    made = add_columns(texts, make, "cells binary").where("cells is not null").select("lang", "doc_id", "k", "cells")
+    rows = made.collect()  # ROWS at most
+    rows.sort(key=lambda r: (r.k, r.lang, r.doc_id))
     space.drop()
     x = np.sqrt(np.array([np.frombuffer(r.cells, np.float16) for r in rows], np.float32).reshape(len(rows), 1 << BITS))
     return fit(x, [r.lang for r in rows])
