@@ -5,11 +5,13 @@ Terms are words and word beginnings, present or not, hashed into 2^BITS cells. A
     sigmoid(bias + sum w[i] + 1/2 sum_f ((sum v[i,f])^2 - sum v[i,f]^2))
 
 over its terms i: beside each term's weight, every pair of terms adds the product of their factors, so a word can
-count only next to another one. Only terms whose presence goes with the label beyond chance are learnt, so that long
-texts gather no noise; their weights by FTRL-proximal, their factors by AdaGrad.
+count only next to another one, or against it. Learnt are terms whose presence goes with the label beyond chance, so that long
+texts gather no noise, and terms that do so only in pairs: of the most frequent ones every pair is tested for what both together tell
+beside what each tells alone. Weights come from FTRL-proximal, factors from AdaGrad; a term of a pair has factors without a weight, too.
 
-Labels come from a sample of at most SAMPLE rows (the smallest hashes of doc_id, a bound for the driver's memory);
-their terms are hashed on the executors. Scoring reads whole texts in numpy, only terms with a weight or factors are counted.
+Labels come from a sample of at most SAMPLE ids (the smallest hashes of doc_id, a bound for the driver's memory);
+their terms are hashed on the executors. Scoring reads whole texts in numpy, only terms with a weight or factors are counted; a worker
+needs about 100 bytes for each byte of the longest text.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ALNUM, Workspace, add_columns, mixed, text_slices, utf8, word_hashes, word_spans
+from ._shared import ALNUM, Workspace, add_columns, least_hashed, mixed, text_slices, utf8, word_hashes, word_spans
 
 BITS = 20
 FACTORS = 8
-#: Labelled rows that are learnt from at most.
+#: Labelled ids that are learnt from at most.
 SAMPLE = 12_000
+#: Terms whose pairs are tested (those whose presence varies most), and the chi squared that tells a pair (chance alone: one in 20 million).
+PAIR_TERMS, PAIR_EVIDENCE = 800, 30.0
 #: Word beginnings, in bytes, that are terms of their own.
 STEMS = (4, 5, 6, 7, 8)
 EPOCHS = 8
@@ -81,8 +85,30 @@ def evidence(df: Column, pos: Column, n: int, positives: int) -> Column:
     return 2 * (part(pos, df * p) + part(df - pos, df * (1 - p)) + part(rest_pos, rest * p) + part(rest - rest_pos, rest * (1 - p)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> Machine:
-    """Learn from rows of distinct cells that are worth it. Without both labels the machine gives their mean (or 0) for all texts."""
+def interactions(rows: list[np.ndarray], labels: np.ndarray, cells: np.ndarray, evidence: float = PAIR_EVIDENCE) -> np.ndarray:
+    """Those of the cells (sorted) that are in a pair whose joint presence goes with the label, beside the presence of each.
+
+    For cells with presences a, b: (sum (y - p) (a - mean a) (b - mean b))^2 over its variance p (1 - p) sum (a - mean a)^2 (b - mean b)^2.
+    """
+    y, n, m = np.asarray(labels, np.float32), len(rows), len(cells)
+    at = [np.searchsorted(cells, r[np.isin(r, cells)]) for r in rows]
+    mean = np.bincount(np.concatenate([*at, np.zeros(0, np.int64)]), minlength=m).astype(np.float32) / max(1, n)
+    joint, spread = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
+    for k in range(0, n, 2048):  # rows that fit the memory
+        x = np.zeros((len(at[k : k + 2048]), m), np.float32)
+        for i, r in enumerate(at[k : k + 2048]):
+            x[i, r] = 1
+        x -= mean
+        joint += x.T @ (x * (y[k : k + 2048] - y.mean())[:, None])
+        x *= x
+        spread += x.T @ x
+    told = joint**2 > evidence * y.mean() * (1 - y.mean()) * spread
+    np.fill_diagonal(told, False)
+    return cells[told.any(axis=1)]
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7, paired: np.ndarray | None = None) -> Machine:
+    """Learn from rows of distinct cells that are worth it; those of `paired` have factors even without a weight. Without both labels the machine gives their mean (or 0) for all texts."""
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         p = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
@@ -91,6 +117,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
     cells, flat = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]), return_inverse=True)
     bounds = np.cumsum([0, *map(len, rows)])
     rows = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    always = np.isin(cells, paired) if paired is not None else np.zeros(len(cells), bool)
     alpha, beta, l1, l2 = 0.5, 1.0, 0.1, 0.1
     z, n = np.zeros(len(cells)), np.zeros(len(cells))
     v, g2 = rng.normal(0, 0.01, (len(cells), factors)), np.full((len(cells), factors), 1e-3)
@@ -100,7 +127,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
             x = rows[k]
             zk, nk = z[x], n[x]
             w = np.where(np.abs(zk) <= l1, 0.0, -(zk - np.sign(zk) * l1) / ((beta + np.sqrt(nk)) / alpha + l2))
-            live = x[w != 0]
+            live = x[(w != 0) | always[x]]
             vl = v[live] if epoch else v[live[:0]]
             total = vl.sum(axis=0)
             s = bias + w.sum() + 0.5 * ((total**2).sum() - (vl**2).sum())
@@ -114,17 +141,24 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
                 g2[live] += g * g
                 v[live] -= 0.05 * g / np.sqrt(g2[live])
     w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
-    live = w != 0
+    live = (w != 0) | always
     return Machine(bias, cells[live], w[live], v[live], bits)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, allowed: Column | None = None) -> Machine:
-    """A machine from the labels (doc_id, label) of docs; rows without text or label are left out; a doc_id with several labels has the largest."""
+    """A machine from the labels (doc_id, label) of docs.
+
+    Rows without text, label or id are left out; an id with several labels has the largest, one with several texts that of
+    least hash, so `sample` ids are `sample` rows. Empty tables, or labels of one kind, give a machine without terms.
+    """
     space = Workspace(docs.sparkSession, "toxicity")
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    known = (known.where(allowed) if allowed is not None else known).join(docs.select("doc_id"), "doc_id", "left_semi")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    known = known.where(allowed) if allowed is not None else known
+    own = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
+    known = space.keep(known.join(own.select("doc_id"), "doc_id", "left_semi"), "known")
+    chosen = least_hashed(known.withColumn("of", F.lit("all")), "of", sample, 1, space)
+    chosen = known.join(F.broadcast(chosen.select("doc_id")), "doc_id")  # `sample` ids at most
+    texts = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     texts = space.keep(texts.repartition(SPREAD), "sample")  # of bounded size, so all of it can be dealt out
     total = texts.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     if not total.n or total.p in (0, total.n):
@@ -143,9 +177,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some]), pa.array(pos[some])], ["cell", "df", "pos"])
 
     counts = texts.mapInArrow(count, "cell long, df long, pos long").groupBy("cell").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
+    counts = space.keep(counts, "counts")  # a row for each cell: 2^BITS at most
     strong = counts.withColumn("g", evidence(F.col("df"), F.col("pos"), total.n, total.p)).where(F.col("g") > EVIDENCE)
+    varied = F.least("df", total.n - F.col("df"))
+    often = counts.where(varied >= 20).orderBy(varied.desc(), "cell").limit(PAIR_TERMS).select("cell").collect()
+    often = np.sort(np.array([r.cell for r in often], np.int64))
     told = np.zeros(1 << BITS, bool)
     told[[r.cell for r in strong.orderBy(F.col("g").desc(), "cell").limit(MOST_TERMS).select("cell").collect()]] = True
+    alone = told.copy()
+    told[often] = True
     told_cells = np.flatnonzero(told)
 
     def make():
@@ -161,10 +201,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
         return work
 
-    rows = add_columns(texts, make, "cells binary").select("doc_id", "y", "cells").collect()  # `sample` rows at most, strong terms only
+    rows = add_columns(texts, make, "cells binary").select("doc_id", "y", "cells").collect()  # `sample` rows at most, MOST_TERMS + PAIR_TERMS terms at most
     space.drop()
     rows.sort(key=lambda r: (r.doc_id, r.cells))
-    return fit([np.frombuffer(r.cells, np.int32).astype(np.int64) for r in rows], np.array([r.y for r in rows]))
+    cells, y = [np.frombuffer(r.cells, np.int32).astype(np.int64) for r in rows], np.array([r.y for r in rows])
+    paired = interactions(cells, y, often)
+    alone[paired] = True
+    return fit([c[alone[c]] for c in cells], y, paired=paired)
 
 
 def _distinct(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
