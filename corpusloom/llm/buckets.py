@@ -3,14 +3,14 @@
 Buckets are never gathered. Each bucket's nodes are first compared with three pivots (an aggregate), which makes stars; the
 stars' components are found; then only nodes outside their bucket's largest component are compared with the
 rest of the bucket, and only across components. What is skipped is already connected, so no link is lost, and a hot bucket of near
-copies costs a few comparisons a node.
+copies costs a few comparisons a node. A bucket of many components is first cut into finer ones, where the caller knows how.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Workspace
@@ -43,10 +43,32 @@ def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
     raise RuntimeError(f"{name} did not settle in {ROUNDS} rounds")
 
 
-def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], space: Workspace) -> DataFrame:
+def _mixed(placed: DataFrame, by: list[str]) -> DataFrame:
+    """placed with main, the component that most of the bucket's nodes are in, of the buckets of several components."""
+    sizes = placed.groupBy(*by, "comp").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy(*by).agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("parts > 1")
+    return placed.join(mixed.drop("parts"), by)
+
+
+def late_pairs(placed: DataFrame, within: Callable[[Column, Column], Column] | None = None, space: Workspace | None = None) -> DataFrame:
+    """a, b of different components that meet in a bucket of placed (t, key, node, comp), b outside the bucket's largest component.
+
+    within(node, t) gives the keys of finer buckets: linked nodes of a bucket must share one, at the same place of the array.
+    """
+    by = ["t", "key"]
+    open_ = _mixed(placed, by)
+    if within is not None:
+        finer = open_.select(*by, "node", "comp", F.posexplode(within(F.col("node"), F.col("t"))).alias("s", "sub"))
+        open_ = _mixed(finer, by := [*by, "s", "sub"])
+    open_ = space.keep(open_, "open") if space else open_
+    few = open_.where("comp <> main").select(*by, F.col("node").alias("b"), F.col("comp").alias("other"))
+    return open_.withColumnRenamed("node", "a").join(few, by).where("comp <> other").select("a", "b")
+
+
+def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], space: Workspace, within: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """node, comp for every node of entries (node, weight, t, key) that has a link to another one.
 
-    Nodes meet in buckets (t, key); verify keeps the linked ones of pairs (a, b). A node must be in a bucket once.
+    Nodes meet in buckets (t, key); verify keeps the linked ones of pairs (a, b). A node must be in a bucket once. within: see late_pairs().
     """
     pivots = (
         entries.groupBy("t", "key")
@@ -60,12 +82,7 @@ def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     placed = members.select("t", "key", "node").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = space.keep(placed, "placed")
     space.drop("members")
-    sizes = placed.groupBy("t", "key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("t", "key").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("parts > 1")
-    open_ = space.keep(placed.join(mixed, ["t", "key"]).select("t", "key", "node", "comp", "main"), "open")
-    few = open_.where("comp <> main").select("t", "key", F.col("node").alias("b"), F.col("comp").alias("other"))
-    late = open_.withColumnRenamed("node", "a").join(few, ["t", "key"]).where("comp <> other")
-    late = space.keep(verify(late.select("a", "b")).distinct(), "late")
+    late = space.keep(verify(late_pairs(placed, within, space)).distinct(), "late")
     space.drop("placed")
     space.drop("open")
     if late.limit(1).count() == 0:
