@@ -45,7 +45,8 @@ def plain_pipeline(docs, items):
         if i is not None:
             c = comp[plain_fingerprint(t)]
             least[c] = min(least.get(c, i), i)
-    docs = [(i, t) for i, t in docs if i is None or least[comp[plain_fingerprint(t)]] == i]
+    docs, seen = [(i, t) for i, t in docs if i is None or least[comp[plain_fingerprint(t)]] == i], set()
+    docs = [(i, t) for i, t in docs if i is None or not (i in seen or seen.add(i))]  # rows that repeat an id and a group are copies, too
     lib, out = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
     for i, t in docs:
         n, hit, _ = plain_hits(t, items)
@@ -76,5 +77,26 @@ def test_stages_take_any_rows(spark, folder, name):
     assert stage(spark, docs.limit(0), folder).count() == 0
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES if n != "bpe"])
+def test_stages_keep_columns_of_any_name(spark, folder, name):
+    """Columns that operators add elsewhere hold the documents' own values."""
+    names = ["score", "predicted", "host", "n_lines", "n_dropped", "frequent", "kept", "row", "items", "n_hit", "n_words", "ranges", "clean_text", "contaminated", "document", "at", "fp", "g", "stays"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, folder)
+    rows = out.collect()
+    assert out.columns == docs.columns and len(rows) > 50
+    assert all(r[n] == f"{n} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+
+
+def test_near_copies_go_by_row(spark, folder):
+    """Of one id with two texts both stay if they are no copies; repeated rows of it collapse; nothing unique is lost."""
+    a, b, c = prose(80, 901), prose(80, 902), prose(80, 903)
+    rows = [(1, a, "en", "s", 1), (2, a, "en", "s", 2), (2, b, "en", "s", 3), (3, c, "en", "s", 4), (3, c, "en", "s", 5), (None, a, "en", "s", 6), (None, c, "en", "s", 7)]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA).coalesce(1), folder)
+    assert sorted((tuple(r)[:2] for r in out.collect()), key=str) == sorted([(1, a), (2, b), (3, c), (None, a), (None, c)], key=str)
+
+
 def test_stage_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "decontamination", "bpe"]
