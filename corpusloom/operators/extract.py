@@ -98,6 +98,12 @@ def token_refs(corpus: DataFrame, pattern: str = TOKEN_REF) -> DataFrame:
     return found.groupBy("path", F.concat_ws(".", "root", "first").alias("token")).agg(F.count("*").alias("n"))
 
 
+def deep_tokens(corpus: DataFrame) -> DataFrame:
+    """token (root.first): the distinct tokens that files refer to, deeper parts cut off."""
+    found = occurrences(corpus, DEEP_TOKEN_REF, {"root": 1, "first": 2})
+    return found.select(F.concat_ws(".", "root", "first").alias("token")).distinct()
+
+
 def lines(corpus: DataFrame) -> DataFrame:
     """path, line (from 1), content of every line."""
     return corpus.select("path", F.posexplode(F.split("text", "\n", -1)).alias("at", "content")).select("path", (F.col("at") + 1).alias("line"), "content")

@@ -112,4 +112,20 @@ def summary(found: DataFrame, navs: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def screens_for_flow(found: DataFrame, flow: str) -> DataFrame:
-    return found.where(F.lower(F.col("route")).contains(flow.lower()))
+    """Screens whose route (or name, without a route) or navigator holds the flow's name, in any case."""
+    part = F.lit(flow.lower())
+    hit = F.lower(F.coalesce("route", "name") if "route" in found.columns else F.col("screen")).contains(part)
+    return found.where(F.coalesce(hit, F.lit(False)) | F.coalesce(F.lower("navigator").contains(part), F.lit(False)) if "navigator" in found.columns else hit)
+
+
+def containers(corpus: DataFrame) -> DataFrame:
+    """path, line of every navigation container."""
+    return located(occurrences(corpus, r"<NavigationContainer\b")).select("path", "line")
+
+
+def note(totals: DataFrame, router: str) -> DataFrame:
+    """One row, note: what was found of a router's navigation; totals as summary() gives them."""
+    if router == "unknown":
+        return totals.select(F.lit("No router that is known: there is no navigation to map.").alias("note"))
+    counts = F.format_string("%d screens, %d navigators, %d transitions.", "screens", "navigators", "transitions")
+    return totals.select(F.concat_ws(" ", F.lit(f"Router: {router}."), counts, F.when(F.col("screens") == 0, "No screens: look at the router's configuration.")).alias("note"))

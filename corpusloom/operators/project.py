@@ -107,10 +107,13 @@ def snapshot_meta(text: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def owned_skills(skills: DataFrame, lock: DataFrame, source: str, word: str) -> DataFrame:
-    """name, owned: a skill (name, body) is owned if the lock (name, source) says so, else if its body has the word."""
+def owned_skills(skills: DataFrame, lock: DataFrame, source: str, word: str, fingerprints: dict[str, str] | None = None, prefix: str = "i-") -> DataFrame:
+    """name, owned: a skill (name, body) is owned if the lock (name, source) says so, else if its body has the word, else the fingerprint of its name without the prefix."""
     known = skills.join(lock.select("name", F.col("source").alias("_s")), "name", "left")
-    return known.select("name", F.coalesce(F.col("_s") == source, F.col("body").rlike(rf"(?i)\b\Q{word}\E\b")).alias("owned"))
+    body, marks = F.coalesce("body", F.lit("")), F.create_map(*(F.lit(x) for kv in (fingerprints or {"": ""}).items() for x in kv))
+    bare = F.when(F.col("name").startswith(prefix), F.substring("name", len(prefix) + 1, 1 << 20)).otherwise(F.col("name"))
+    marked = F.coalesce((marks[bare] != "") & body.contains(marks[bare]), F.lit(False))
+    return known.select("name", F.coalesce(F.col("_s") == source, body.rlike(rf"(?i)\b\Q{word}\E\b") | marked).alias("owned"))
 
 
 def clean_lock(lock: DataFrame, gone: DataFrame) -> DataFrame:
@@ -127,6 +130,22 @@ def skill_bundles(files: DataFrame) -> DataFrame:
 
 
 def deprecated_targets(names: DataFrame, folders: DataFrame, existing: DataFrame, prefixes: tuple[str, ...] = ("", "i-")) -> DataFrame:
-    """path: every folder/prefix+name that exists; names, folders and prefixes are configuration, so their product is small."""
-    product = names.select("name").crossJoin(folders.select("folder")).select(F.explode(F.array(*(F.concat("folder", F.lit("/"), F.lit(p), "name") for p in prefixes))).alias("path"))
-    return existing.join(F.broadcast(product.distinct()), "path", "left_semi").select("path")
+    """path: every folder/prefix+name that exists."""
+    cut = F.length("path") - F.length(F.substring_index("path", "/", -1)) - 1
+    own = existing.select("path", F.substring_index("path", "/", -1).alias("name"), F.substring(F.col("path"), F.lit(1), cut).alias("folder"))
+    wanted = names.select(F.explode(F.array(*(F.concat(F.lit(p), "name") for p in prefixes))).alias("name"))
+    return own.join(wanted, "name", "left_semi").join(folders.select("folder"), "folder", "left_semi").select("path")
+
+
+def snapshots_of(files: DataFrame, slug: str) -> DataFrame:
+    """files (path) that are snapshots of a slug, oldest first: their names begin with the time."""
+    name = F.substring_index("path", "/", -1)
+    return files.where(name.endswith(f"__{slug}.md")).orderBy(name)
+
+
+def project_root(files: DataFrame, start: str, marks: tuple[str, ...] = ("package.json", ".git")) -> DataFrame:
+    """root: the nearest folder at or above start that holds one of the marks, of files (path); start itself if none does."""
+    parts = start.strip("/").split("/") if start.strip("/") else []
+    above = ["/".join(parts[:k]) for k in range(len(parts), -1, -1)]
+    tried = files.sparkSession.createDataFrame([(f"{a}/{m}".lstrip("/"), a, k) for k, a in enumerate(above) for m in marks], "path string, root string, k int")
+    return files.select(F.regexp_replace("path", "^/", "").alias("path")).join(tried, "path").agg(F.coalesce(F.min_by("root", "k"), F.lit("/".join(parts))).alias("root"))

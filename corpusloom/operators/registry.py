@@ -194,3 +194,28 @@ def incoherence_verdict(findings: DataFrame) -> DataFrame:
     severe, n = F.count_if(F.col("severity") == "severe"), F.count("*")
     verdict = F.when(severe >= 3, "incoherent").when((n >= 4) | (severe >= 1), "mixed").when(n > 0, "mostly-coherent").otherwise("coherent")
     return findings.agg(severe.alias("severe"), F.count_if(F.col("severity") == "moderate").alias("moderate"), verdict.alias("verdict"))
+
+
+def font_families(facts: DataFrame) -> DataFrame:
+    """family, usages of a style inventory (facts: kind, value, path), most used first."""
+    return facts.where("kind = 'fontFamily'").groupBy(F.col("value").alias("family")).agg(F.count("*").alias("usages")).orderBy(F.col("usages").desc(), "family")
+
+
+def inventory_summary(facts: DataFrame, files: DataFrame, threshold: float = 3.5) -> DataFrame:
+    """One row: files; raw and perceived colors, font sizes, spacings and radii; font families; rhythm and its fit; the dominant corner language."""
+    usages = facts.groupBy("kind", "value").agg(F.count("*").alias("usages"))
+    number = lambda k: usages.where(F.col("kind") == k).select(F.col("value").cast("double").alias("value"), "usages")
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    raw = usages.agg(*(F.count_if(F.col("kind") == k).alias(n) for k, n in (("color", "raw_colors"), ("fontSize", "raw_font_sizes"), ("spacing", "raw_spacings"), ("radius", "raw_radii"), ("fontFamily", "font_families"))))
+    parts = [
+        count(files, "files"),
+        count(color_clusters(usages.where("kind = 'color'").select(F.col("value").alias("hex"), "usages"), threshold), "colors"),
+        count(leader_clusters(number("fontSize"), 1.0), "font_sizes"),
+        count(leader_clusters(number("spacing"), 2.0), "spacings"),
+        count(leader_clusters(number("radius"), 2.0), "radii"),
+        rhythm(number("spacing")).select(F.col("base").alias("rhythm"), "fit"),
+        radius_language(number("radius")).select(F.col("dominant").alias("corners")),
+    ]
+    for p in parts:  # one-row frames
+        raw = raw.join(F.broadcast(p), how="cross")
+    return raw

@@ -28,6 +28,13 @@ def siblings(tags: DataFrame, target: str, primitives: list[str], most: int = 10
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("files").desc(), "tag")))
 
 
+def reused_styles(corpus: DataFrame, least: int = 2) -> DataFrame:
+    """path, ref, n: style references that a file uses `least` times or more, a sign of flat hierarchy. Of a list of references the first counts."""
+    refs = F.regexp_extract_all("text", F.lit(r"\bstyle=\{\[?\s*([^}\]]+)"), F.lit(1))
+    found = corpus.select("path", F.explode(refs).alias("raw")).select("path", F.split(F.trim("raw"), r"[,\s]+")[0].alias("ref")).where("ref <> ''")
+    return found.groupBy("path", "ref").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
 def first_sites(tags: DataFrame, target: str, besides: DataFrame | None = None) -> DataFrame:
     """path, pos of the first use of a target in each file, but for files (path) of `besides`."""
     found = tags.where(F.col("tag") == target).groupBy("path").agg(F.min("pos").alias("pos"))

@@ -95,6 +95,25 @@ def top_files(found: DataFrame, cells: DataFrame, most: int = 5) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("n").desc(), "file"))).where(F.col("rank") <= most).select("cluster", "rank", "file", "n")
 
 
+def assigned(cells: DataFrame, definitions: DataFrame, found: DataFrame, most: int = 10) -> DataFrame:
+    """consumers() with files (all), and defined_in, value and cluster of each token that is used; null where it has none."""
+    own = consumers(cells, most).withColumn("files", F.col("in_files") + F.col("out_files"))
+    known = definitions.groupBy("token").agg(F.min(F.struct("defined_in", "value")).alias("d"))
+    return own.join(known, "token", "left").join(found, "token", "left").select("token", "d.defined_in", "d.value", "files", "in_files", "out_files", "out_sample", "cluster")
+
+
+def blast_note(definitions: DataFrame, approach: str, blast: DataFrame | None = None, heavy: int = 3) -> DataFrame:
+    """One row, note: what a redesign has to mind, in a sentence each on declarations, theming and the blast radius (blast_radius())."""
+    n = definitions.agg(F.count("*").alias("n"))
+    first = F.when(F.col("n") == 0, "No token module: the redesign can define its own.").otherwise(F.concat("n", F.lit(" declarations: read them before a value changes.")))
+    theme = F.lit(f"Theming: {approach}.")
+    if blast is None:
+        return n.select(F.concat_ws(" ", first, theme, F.lit("No target, so no blast radius.")).alias("note"))
+    far = blast.agg(F.count("*").alias("used"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("other_files") >= heavy, F.col("token")))), ", ").alias("far"))
+    reach = F.when(F.col("far") != "", F.concat(F.lit("Many other files use "), "far", F.lit(": keep these or add new ones."))).when(F.col("used") > 0, "Few other files use the target's tokens.").otherwise("The target uses no shared tokens.")
+    return n.join(F.broadcast(far), how="cross").select(F.concat_ws(" ", first, theme, reach).alias("note"))
+
+
 def sparse_top(cells: DataFrame, most: int = 200) -> DataFrame:
     return cells.orderBy(F.col("n").desc(), "token", "file").limit(most)
 

@@ -112,10 +112,10 @@ def tag_frequency(spark: SparkSession, d: str) -> DataFrame:
     return extract.tags(pages(spark, d)).groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"))
 
 
-@query("""SELECT url AS path, regexp_extract(html, '<a ([^>]*)>', 1) AS tag, regexp_extract(regexp_extract(html, '<a ([^>]*)>', 1), 'href="([^"]*)"', 1) AS href FROM pages WHERE regexp_matches(html, '<a [^>]*>')""")
+@query("""SELECT path, tag, regexp_extract(tag, 'href="([^"]*)"', 1) AS href FROM (SELECT url AS path, unnest(regexp_extract_all(html, '<a ([^>]*)>', 1)) AS tag FROM pages)""")
 def attribute_map(spark: SparkSession, d: str) -> DataFrame:
-    first = extract.occurrences(pages(spark, d), "<a ([^>]*)>", {"tag": 1}).where("seq = 0")
-    return extract.attributes(first, "tag").select("path", "tag", F.col("attrs")["href"].alias("href"))
+    found = extract.occurrences(pages(spark, d), "<a ([^>]*)>", {"tag": 1})
+    return extract.attributes(found, "tag").select("path", "tag", F.coalesce(F.col("attrs")["href"], F.lit("")).alias("href"))
 
 
 @query("SELECT url, CASE WHEN len(s) > 50 THEN regexp_replace(right(s, 50), '^-+', '') ELSE s END AS slug FROM (SELECT url, regexp_replace(regexp_replace(lower(regexp_replace(url, '^https?://|[?#].*$', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM pages)")
@@ -533,15 +533,9 @@ def route_glob(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("url", hit.alias("matched"), F.lower("url").contains("blog").alias("in_flow"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS k, [p_size % 2, p_size % 3, p_partkey % 2, p_partkey % 3, len(p_type) % 2, len(p_brand) % 2] AS x FROM part WHERE p_partkey < 60)
+@query("""WITH a AS (SELECT p_partkey AS k, [p_size % 2, p_size % 3, p_partkey % 2, p_partkey % 3, len(p_type) % 2, len(p_brand) % 2] AS x FROM part)
 SELECT p.k AS a, q.k AS b, CAST(list_sum(list_transform(range(1, 7), lambda i: (p.x[i] <> q.x[i])::INT)) AS INT) AS differ FROM a p JOIN a q ON p.k < q.k AND p.k // 3 = q.k // 3""")
 def axis_divergence(spark: SparkSession, d: str) -> DataFrame:
-    """The first 20 groups of axis_divergence_all."""
-    return _divergence(table(spark, d, "part").where("p_partkey < 60"))
-
-
-@query(SQL["axis_divergence"].replace(" WHERE p_partkey < 60", ""))
-def axis_divergence_all(spark: SparkSession, d: str) -> DataFrame:
     """Axes of groups of three directions, derived from parts: how many of six axes each pair of a group differs on."""
     return _divergence(table(spark, d, "part"))
 
@@ -568,14 +562,8 @@ def props_variant(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT unnest(['alpha', 'beta']) AS provider, unnest(['Alpha', 'Beta']) AS shown)
-SELECT provider, 'doc-' || doc_id AS name, 'Doc ' || doc_id AS title, md5(regexp_replace(substr(text, 1, 40) || chr(10) || CASE WHEN provider = 'beta' THEN chr(10) ELSE '' END || 'For ' || shown || '.' || chr(10) || CASE WHEN provider = 'alpha' THEN chr(10) ELSE '' END || 'end', '\n{3,}', chr(10) || chr(10), 'g')) AS body_md5 FROM documents, p""")
+SELECT provider, 'doc-' || doc_id AS name, 'Doc ' || doc_id AS title, md5(regexp_replace(text || chr(10) || CASE WHEN provider = 'beta' THEN chr(10) ELSE '' END || 'For ' || shown || '.' || chr(10) || CASE WHEN provider = 'alpha' THEN chr(10) ELSE '' END || 'end', '\n{3,}', chr(10) || chr(10), 'g')) AS body_md5 FROM documents, p""")
 def skill_field_projection(spark: SparkSession, d: str) -> DataFrame:
-    """The beginnings of documents stand in for skill texts."""
-    return _projection(spark, d, F.substring("text", 1, 40))
-
-
-@query(SQL["skill_field_projection"].replace("substr(text, 1, 40)", "text"))
-def skill_text_projection(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents stand in for skill texts."""
     return _projection(spark, d, F.col("text"))
 
@@ -588,6 +576,9 @@ def _projection(spark: SparkSession, d: str, text: Column) -> DataFrame:
     return documents.compiled(skills, providers, ["alpha", "beta"]).select("provider", "name", "title", F.md5("body").alias("body_md5"))
 
 
+from . import rendered  # noqa: E402, F401  (registers its queries here)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -22,8 +22,8 @@ def literal_counts(files: DataFrame, pattern: str, group: int = 1) -> DataFrame:
     return extract.occurrences(files, pattern, {"value": group}).groupBy("value").agg(F.count("*").alias("n"))
 
 
-def latest(snapshots: DataFrame, by: str, order: str, late: str = "1 day") -> DataFrame:
-    """The latest row of each key, of rows no later than `late` behind the newest time (update mode)."""
+def latest(snapshots: DataFrame, by: str, order: str) -> DataFrame:
+    """The latest row of each key so far (update or complete mode), however late it comes: state is one row a key and stays, as any key may come again."""
     rest = [c for c in snapshots.columns if c != by]
-    picked = snapshots.withWatermark(order, late).groupBy(by).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r"))
+    picked = snapshots.groupBy(by).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r"))
     return picked.select(by, *(F.col(f"r.`{c}`").alias(c) for c in rest))
