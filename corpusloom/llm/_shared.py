@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,7 +19,7 @@ from pyspark.sql.types import StructType
 #: Rows that the JVM puts into one Arrow batch; with it a batch of very long texts still fits a worker.
 ARROW_ROWS = 1000
 #: Bytes of text that a worker handles at once (a single longer text is a slice of its own).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _OWN_DIR: list[str] = []
 
@@ -127,6 +128,14 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_B
         done, i = int(upto[j - 1]), j
 
 
+def give_back() -> None:
+    """Return memory that is free to the system: a worker lives on after its task, and the next one may need other tables."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim:
+        trim(0)
+
+
 def add_columns(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], fields: str) -> DataFrame:
     """docs with the columns of `fields` (in place of columns of these names), made from slices of rows.
 
@@ -143,6 +152,7 @@ def add_columns(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], l
             for part in text_slices(batch):
                 made = [pa.array(v, k) for v, k in zip(work(part), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in left), *made], [*(f.name for f in left), *new.names])
+        give_back()
 
     bound_arrow(docs.sparkSession)
     return docs.mapInArrow(run, StructType([*left, *new]))

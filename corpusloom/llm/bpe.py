@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import bound_arrow, text_slices, utf8
+from ._shared import bound_arrow, give_back, text_slices, utf8
 from .words import Lexicon, check_vocabulary, segments
 
 #: Words that are walked at once, and symbols from which on a word is walked alone.
@@ -255,7 +255,8 @@ class TextCoder:
         self.automaton.label.update({i: t for t, i in self.special.items()})
         names = sorted(map(re.escape, self.special), key=len, reverse=True)
         self._cut = re.compile(f"({'|'.join(names)})") if names else None
-        splitter = Tokenizer.from_file(path)  # only its normaliser and pre-splitter are used, for odd chunks
+        bare = spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}
+        splitter = Tokenizer.from_str(json.dumps(bare))  # its normaliser and pre-splitter, for odd chunks
         self._normal, self._split = splitter.normalizer, splitter.pre_tokenizer
         self._symbol = np.array([self.automaton.symbol.get(chr(BYTE_SYMBOLS.get(b, b)), 0) for b in range(256)])
         self.words = Lexicon(self._learn, self._odd)
@@ -326,6 +327,7 @@ def coder(path: str) -> TextCoder:
     """One coder for each vocabulary in a worker."""
     if path not in _CODERS:
         _CODERS[path] = TextCoder(path)
+        give_back()  # what compiling took
     return _CODERS[path]
 
 
@@ -357,6 +359,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
                 got = own.digests(part.column("text"))
                 cols = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        give_back()
 
     bound_arrow(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

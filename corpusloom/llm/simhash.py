@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import LOWER_TABLE, Workspace, add_columns, bound_arrow, text_slices
+from ._shared import LOWER_TABLE, Workspace, add_columns, bound_arrow, give_back, text_slices
 from .buckets import link_buckets
 
 SHINGLE = 3
@@ -46,6 +46,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for part in text_slices(batch):
             fp = np.array([fingerprint_of(x.as_py()) for x in part.column("text")], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+    give_back()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ _KIND[~NOT_BLANK] = BLANK
 #: Bytes of a piece that is looked up by its hash; longer ones are looked up as they are.
 PIECE_BYTES = 64
 #: Pieces that a lexicon holds, and ids of all of them, before it starts anew.
-MOST_PIECES, MOST_IDS = 400_000, 8_000_000
+MOST_PIECES, MOST_IDS = 250_000, 4_000_000
 #: Code points of a part of a long text.
 PART = 1 << 20
 _BLANK = re.compile("[ \t-\r]")
