@@ -206,7 +206,7 @@ def write_arc(pages: DataFrame, folder: str, version: int = 2) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(run, "path string")
 
 
-_SCAN = "path string, k long, page_id long, url string, date string, digest string, payload_bytes long, rid string"
+_SCAN = "path string, k long, page_id long, url string, date string, digest string, check string, payload_bytes long, rid string"
 
 
 def scan_arc(paths: DataFrame, folder: str) -> DataFrame:
@@ -224,7 +224,7 @@ def scan_arc(paths: DataFrame, folder: str) -> DataFrame:
                         http, payload = split_http(body)
                         page = http_field(http, "X-Page-Id")
                         if not head["URL"].startswith("filedesc:"):
-                            rows.append((path, k, int(page) if page else None, head["URL"], head["Archive-date"], payload_digest(payload), len(payload), record_id(path.rpartition("/")[2], k)))
+                            rows.append((path, k, int(page) if page else None, head["URL"], head["Archive-date"], payload_digest(payload), hashlib.sha256(payload).hexdigest(), len(payload), record_id(path.rpartition("/")[2], k)))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names)
 
     return paths.mapInArrow(run, _SCAN)
@@ -234,11 +234,11 @@ def mark_revisits(records: DataFrame, least: int = 0) -> DataFrame:
     """records with refers (rid, url, date of the record that holds the payload; null for that one itself).
 
     Of records with equal payloads of `least` bytes or more, the one with the largest page_id (then file and place) holds it.
-    A hot payload is one row of an aggregate that combines before its shuffle; the join back is split where it is hot.
+    Payloads are equal if their SHA-1, SHA-256 and size are. A hot payload is one row of an aggregate that combines before its shuffle; the join back is split where it is hot.
     """
     place = F.struct(F.col("page_id"), F.col("path"), F.col("k"), F.col("rid"), F.col("url"), F.col("date"))
-    holders = records.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max(place).alias("holder"))
-    joined = records.join(holders, ["digest", "payload_bytes"], "left")
+    holders = records.where(F.col("payload_bytes") >= least).groupBy("digest", "check", "payload_bytes").agg(F.max(place).alias("holder"))
+    joined = records.join(holders, ["digest", "check", "payload_bytes"], "left")
     return joined.withColumn("refers", F.when(F.col("holder.rid") != F.col("rid"), F.struct("holder.rid", "holder.url", "holder.date"))).drop("holder")
 
 
@@ -316,5 +316,8 @@ def archive(pages: DataFrame, version: int = 2) -> DataFrame:
     found = space.keep(read_records(spread(warcs), space.root), "found")
     space.drop("arc")
     space.drop("scanned")
-    named = found.where("record_type <> 'revisit'").select(F.col("rid").alias("refers_rid"), F.col("page_id").alias("refers_to"))
-    return found.join(named, "refers_rid", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    held = found.where("record_type <> 'revisit'")
+    named = held.select(F.col("rid").alias("refers_rid"), F.col("page_id").alias("refers_to"))
+    revisits = found.where("record_type = 'revisit'").join(named, "refers_rid", "left").select(*out, "refers_to")
+    return held.select(*out, F.lit(None).cast("bigint").alias("refers_to")).unionByName(revisits)  # responses refer to nothing, so they are not joined
