@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,61 +38,157 @@ THEMING = [
 ]
 
 
-def occurrences(corpus: DataFrame, pattern: str, groups: dict[str, int] | None = None) -> DataFrame:
-    """path, text, seq, offset, match and the named groups of every match of pattern, in order of place.
+class Pattern(NamedTuple):
+    """A pattern to scan for. Of its matches those stay whose window (`before` code points before the match's start to `after` behind it) holds and lacks what is told."""
+
+    name: str
+    regex: str
+    groups: tuple[int, ...] = ()
+    before: int = 0
+    after: int = 0
+    lacks: str | None = None
+    holds: str | None = None
+
+
+_CHUNK = 512
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
-    Stays in the JVM: the offset is the length of all segments and matches before. Texts that are null or have no match give no
-    row. An inner group that took no part is the empty string.
+def _starts(pieces: Column) -> Column:
+    """Where each match starts: (at, newlines, since the last newline), from the pieces of text between the starts of matches.
+
+    Running sums in blocks of the cube root of n pieces: n^(4/3) steps for n matches, where plain prefix sums would take n^2.
     """
-    p = F.lit(pattern)
-    hits = F.regexp_extract_all("text", p, F.lit(0))
-    named = {"match": hits} | {n: F.regexp_extract_all("text", p, F.lit(g)) for n, g in (groups or {}).items()}
-    found = corpus.where(F.col("text").rlike(pattern)).select("path", "text", F.split("text", pattern, -1).alias("seg"), F.arrays_zip(*(v.alias(n) for n, v in named.items())).alias("hits"))
-    rows = found.select("path", "text", "seg", F.col("hits.match").alias("all"), F.posexplode("hits").alias("seq", "hit"))
-    total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda t, x: t + F.length(x))
-    offset = total(F.col("seg"), F.col("seq") + 1) + total(F.col("all"), F.col("seq"))
-    return rows.select("path", "text", "seq", offset.alias("offset"), *(F.col(f"hit.{n}").alias(n) for n in named))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("newlines"), F.lit(0).alias("since"))
+    size = lambda p: F.struct(F.length(p).alias("at"), (F.length(p) - F.length(F.replace(p, F.lit("\n")))).alias("newlines"), F.length(F.substring_index(p, "\n", -1)).alias("since"))
+
+    def plus(x: Column, y: Column) -> Column:
+        since = F.when(y["newlines"] > 0, y["since"]).otherwise(x["since"] + y["since"])
+        return F.struct((x["at"] + y["at"]).alias("at"), (x["newlines"] + y["newlines"]).alias("newlines"), since.alias("since"))
+
+    def upto(v: Column) -> Column:
+        sums = lambda a, k, n, start: F.aggregate(F.slice(a, k, n), start, plus)
+        blocks = F.transform(F.sequence(F.lit(0), (F.size(v["sizes"]) - 1).cast("int"), v["block"]), lambda k: sums(v["sizes"], k + 1, v["block"], zero))
+        whole = lambda b: F.transform(b, lambda _, k: sums(b, F.lit(1), k, zero))
+        within = lambda w: F.transform(v["sizes"], lambda _, i: _let((i - i % v["block"]).cast("int"), lambda k: sums(v["sizes"], k + 1, i - k + 1, F.get(w, F.floor(k / v["block"]).cast("int")))))
+        return _let(blocks, lambda b: _let(whole(b), within))
+
+    block = F.greatest(F.lit(4), F.ceil(F.cbrt(F.size(pieces))).cast("int"))
+    return _let(F.struct(F.transform(pieces, size).alias("sizes"), block.alias("block")), upto)
+
+
+def _matches(text: Column, chunks: Column, p: Pattern, first_of_line: bool) -> Column:
+    """The matches of a pattern in order: kind, seq, offset, line, col, match, groups. Each text is read a fixed number of times, however many matches it has."""
+    every = lambda g: F.regexp_extract_all(text, F.lit(p.regex), F.lit(g))
+    base = F.struct(F.split(text, p.regex, -1).alias("seg"), every(0).alias("hits"), *(every(g).alias(f"g{g}") for g in p.groups))
+
+    def near(at: Column) -> Column:
+        start = F.greatest(at - p.before, F.lit(0))
+        own = F.array_join(F.slice(chunks, F.floor(start / _CHUNK).cast("int") + 1, (p.before + p.after) // _CHUNK + 2), "")
+        return F.substring(own, (start % _CHUNK + 1).cast("int"), (at + p.after - start).cast("int"))
+
+    def stays(hit: Column) -> Column:
+        def told(window: Column) -> Column:
+            return (F.lit(True) if p.holds is None else window.rlike(p.holds)) & (F.lit(True) if p.lacks is None else ~window.rlike(p.lacks))
+
+        return _let(near(hit["offset"]), told)
+
+    def rows(v: Column) -> Column:
+        def row(starts: Column) -> Column:
+            def one(hit: Column, i: Column) -> Column:
+                s = F.get(starts, i)
+                groups = F.array(*(F.get(v[f"g{g}"], i) for g in p.groups)) if p.groups else F.array().cast("array<string>")
+                return F.struct(F.lit(p.name).alias("kind"), i.alias("seq"), s["at"].alias("offset"), (s["newlines"] + 1).alias("line"), (s["since"] + 1).alias("col"), hit.alias("match"), groups.alias("groups"))
+
+            return F.transform(v["hits"], one)
+
+        pieces = F.transform(F.slice(v["seg"], F.lit(1), F.size(v["hits"])), lambda s, i: F.concat(F.coalesce(F.get(v["hits"], i - 1), F.lit("")), s))
+        found = _let(_starts(pieces), row)
+        return found if p.lacks is None and p.holds is None else F.filter(found, stays)
+
+    none = F.array().cast("array<struct<kind:string,seq:int,offset:int,line:int,col:int,match:string,groups:array<string>>>")
+    found = F.when(text.rlike(p.regex), _let(base, rows)).otherwise(none)
+    if first_of_line:
+        found = _let(found, lambda all_: F.filter(all_, lambda h, i: (i == 0) | (h["line"] != F.get(all_, i - 1)["line"])))
+    return found
+
+
+def scan(corpus: DataFrame, patterns: list[Pattern], lines: int | None = None, first_of_line: bool = False) -> DataFrame:
+    """path, kind (the pattern's name), seq, offset, line, col, match, groups (in the pattern's order) of every match of all patterns, in one reading of the corpus.
+
+    With `lines`, also content: the trimmed text of the match's line, its first `lines` code points (0: all). `first_of_line` keeps of the
+    matches of one pattern in one line the first. Stays in the JVM and shuffles nothing; null texts give no row; an inner group that took
+    no part is the empty string. Texts are not copied to their matches.
+    """
+    text = F.col("text")
+    windows = any(p.lacks is not None or p.holds is not None for p in patterns)
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0)) if windows else F.array().cast("array<string>")
+    hits = _let(cut, lambda chunks: F.concat(*(_matches(text, chunks, p, first_of_line) for p in patterns)))
+    if lines is not None:
+        short = (lambda s: F.substring(s, 1, lines)) if lines else (lambda s: s)
+        told = F.transform(F.split("text", "\n", -1), lambda s: short(tx.trimmed(s)))
+        hits = _let(F.struct(hits.alias("hits"), told.alias("told")), lambda v: F.transform(v["hits"], lambda h: h.withField("content", F.element_at(v["told"], h["line"]))))
+    some = F.lit(False)
+    for p in patterns:
+        some = some | F.col("text").rlike(p.regex)
+    return corpus.where(some).select("path", "text", F.explode(hits).alias("hit")).select("path", "text", "hit.*")
+
+
+def occurrences(corpus: DataFrame, pattern: str, groups: dict[str, int] | None = None) -> DataFrame:
+    """path, text, seq, offset, line, col, match and the named groups of every match of pattern, in order of place; text is read only where the caller uses it."""
+    groups = groups or {}
+    found = scan(corpus, [Pattern("", pattern, tuple(groups.values()))])
+    return found.select("path", "text", "seq", "offset", "line", "col", "match", *(F.get("groups", k).alias(n) for k, n in enumerate(groups)))
 
 
 def located(found: DataFrame) -> DataFrame:
-    """With line, col, snippet and 80-character context of each match."""
-    line = tx.line_of(F.col("text"), F.col("offset"))
-    return found.withColumn("line", line).withColumn("col", tx.column_of(F.col("text"), F.col("offset"))).withColumn("snippet", tx.snippet(F.col("text"), F.col("line"))).withColumn("context", F.substring("snippet", 1, 80))
+    """With the snippet and 80-character context of each match."""
+    return found.withColumn("snippet", tx.snippet(F.col("text"), F.col("line"))).withColumn("context", F.substring("snippet", 1, 80))
 
 
-def literals(corpus: DataFrame) -> DataFrame:
-    """path, kind, value, line of colors, radii, sizes and durations. A number taken as a radius is not a size."""
-    line = tx.line_of(F.col("text"), F.col("offset"))
+def _by_kind(cases: dict[str, Column]) -> Column:
+    out = F.lit(None)
+    for kind, value in cases.items():
+        out = F.when(F.col("kind") == kind, value).otherwise(out)
+    return out
 
-    def numbers(kind: str, keys: str, over: float, more: Column | None = None) -> DataFrame:
-        found = occurrences(corpus, f"(?:{keys}){NUMBER}", {"n": 1})
-        found = found.where(F.col("n").cast("double") > over)
-        return (found.where(more) if more is not None else found).select("path", F.lit(kind).alias("kind"), F.col("n").cast("double").cast("string").alias("value"), line.alias("line"))
 
-    hexes = occurrences(corpus, HEX).select("path", F.lit("color").alias("kind"), F.lower("match").alias("value"), line.alias("line"))
-    rgbs = occurrences(corpus, RGB).select("path", F.lit("color").alias("kind"), F.lower(F.regexp_replace("match", r"\s+", "")).alias("value"), line.alias("line"))
-    sizes = numbers("size", SIZE_KEYS, 1, ~F.col("match").rlike(f"^(?:{RADIUS_KEYS})\\b"))
-    return hexes.unionByName(rgbs).unionByName(numbers("radius", RADIUS_KEYS, 0)).unionByName(sizes).unionByName(numbers("duration", DURATION_KEYS, 0))
+def literals(corpus: DataFrame) -> DataFrame:
+    """path, kind, value, line of colors, radii, sizes and durations, from one scan. A number taken as a radius is not a size."""
+    number = lambda name, keys: Pattern(name, f"(?:{keys}){NUMBER}", (1,))
+    found = scan(corpus, [Pattern("hex", HEX), Pattern("rgb", RGB), number("radius", RADIUS_KEYS), number("size", SIZE_KEYS), number("duration", DURATION_KEYS)])
+    color, n = F.col("kind").isin("hex", "rgb"), F.get("groups", 0).cast("double")
+    found = found.where(color | (n > F.when(F.col("kind") == "size", 1.0).otherwise(0.0))).where((F.col("kind") != "size") | ~F.col("match").rlike(f"^(?:{RADIUS_KEYS})\\b"))
+    value = F.when(color, F.lower(F.regexp_replace("match", r"\s+", ""))).otherwise(n.cast("string"))
+    return found.select("path", F.when(color, "color").otherwise(F.col("kind")).alias("kind"), value.alias("value"), "line")
 
 
 def style_facts(corpus: DataFrame) -> DataFrame:
-    """kind (color, fontSize, spacing, radius, fontFamily), value, path: the raw usages of a style inventory. Numbers are canonical strings."""
+    """kind (color, fontSize, spacing, radius, fontFamily), value, path: the raw usages of a style inventory, from one scan, and one of the names of colors. Numbers are canonical strings."""
     from ..functions import color as co
 
-    def of(kind: str, pattern: str, group: int) -> DataFrame:
-        return occurrences(corpus, pattern, {"v": group}).select(F.lit(kind).alias("kind"), F.col("v").cast("double").cast("string").alias("value"), "path")
-
     side = "(?:Horizontal|Vertical|Top|Bottom|Left|Right|Start|End)?"
-    hexes = occurrences(corpus, r"#([0-9a-fA-F]{3,8})\b", {"h": 1}).select(F.lit("color").alias("kind"), F.concat(F.lit("#"), co.expand_hex(F.col("h"))).alias("value"), "path").where("value is not null")
-    rgb = occurrences(corpus, r"rgba?\(\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)(?:\s*,\s*[\d.]+)?\s*\)", {"r": 1, "g": 2, "b": 3})
-    rgbs = rgb.select(F.lit("color").alias("kind"), co.rgb_hex(F.col("r"), F.col("g"), F.col("b")).alias("value"), "path")
+    g = lambda k: F.get("groups", k)
+    found = scan(
+        corpus,
+        [
+            Pattern("hex", r"#([0-9a-fA-F]{3,8})\b", (1,)),
+            Pattern("rgb", r"rgba?\(\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)(?:\s*,\s*[\d.]+)?\s*\)", (1, 2, 3)),
+            Pattern("fontSize", r"\bfontSize" + NUMBER, (1,)),
+            Pattern("spacing", rf"\b(padding{side}|margin{side}|gap|rowGap|columnGap)" + NUMBER, (2,)),
+            Pattern("radius", rf"\b({RADIUS_KEYS})" + NUMBER, (2,)),
+            Pattern("fontFamily", r"""\bfontFamily\s*:\s*['"]([^'"]+)['"]""", (1,)),
+        ],
+    )
+    number = g(0).cast("double").cast("string")
+    values = {"hex": F.concat(F.lit("#"), co.expand_hex(g(0))), "rgb": co.rgb_hex(g(0), g(1), g(2)), "fontSize": number, "spacing": number, "radius": number, "fontFamily": g(0)}
+    facts = found.select(F.when(F.col("kind").isin("hex", "rgb"), "color").otherwise(F.col("kind")).alias("kind"), _by_kind(values).alias("value"), "path").where("kind <> 'color' or value is not null")
     names = F.explode(F.array(*(F.when(F.col("text").rlike(f"['\"]{n}['\"]"), F.lit(h)) for n, h in co.BASIC_NAMES.items())))  # one usage a file and name
-    named = corpus.select(F.lit("color").alias("kind"), names.alias("value"), "path").where("value is not null")
-    fonts = occurrences(corpus, r"""\bfontFamily\s*:\s*['"]([^'"]+)['"]""", {"v": 1}).select(F.lit("fontFamily").alias("kind"), F.col("v").alias("value"), "path")
-    parts = [rgbs, named, of("fontSize", r"\bfontSize" + NUMBER, 1), of("spacing", rf"\b(padding{side}|margin{side}|gap|rowGap|columnGap)" + NUMBER, 2), of("radius", rf"\b({RADIUS_KEYS})" + NUMBER, 2), fonts]
-    for p in parts:
-        hexes = hexes.unionByName(p)
-    return hexes
+    return facts.unionByName(corpus.select(F.lit("color").alias("kind"), names.alias("value"), "path").where("value is not null"))
 
 
 def token_refs(corpus: DataFrame, pattern: str = TOKEN_REF) -> DataFrame:
@@ -124,7 +223,6 @@ def token_modules(corpus: DataFrame) -> DataFrame:
     """path, kind (token-module, token-export), exports (in order), line of the first."""
     by_file = F.regexp_extract("path", r"([^/]+)$", 1).rlike(TOKEN_OR_STYLE_FILE)
     found = occurrences(corpus, TOKEN_EXPORT, {"name": 1}).withColumn("by_file", by_file).where(F.col("by_file") | F.col("name").rlike(TOKEN_NAME))
-    found = found.withColumn("line", tx.line_of(F.col("text"), F.col("offset")))
     out = found.groupBy("path").agg(F.when(F.any_value("by_file"), "token-module").otherwise("token-export").alias("kind"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda x: x["name"]).alias("exports"), F.min("line").alias("line"))
     return out.orderBy(F.col("kind") != "token-module", F.size("exports").desc(), "path")
 

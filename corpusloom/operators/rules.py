@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
-from .extract import RADIUS_KEYS, occurrences
+from .extract import RADIUS_KEYS, Pattern, _by_kind, scan
 
 FINDING = ["rule", "description", "severity", "path", "line", "snippet"]
 #: What tells that code differs by platform.
@@ -44,35 +43,38 @@ def nearest_step(value: Column, scale: list[tuple[float, str]]) -> Column:
     return best["name"]
 
 
-def _finding(found: DataFrame, rule: str, severity: str | Column, description: str | Column, seq: int) -> DataFrame:
-    line = tx.line_of(F.col("text"), F.col("offset"))
-    lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    out = found.select(F.lit(rule).alias("rule"), lit(description).alias("description"), lit(severity).alias("severity"), "path", line.alias("line"), F.lit(seq).alias("rank"), "offset", "text")
-    return out.withColumn("snippet", tx.snippet(F.col("text"), F.col("line"))).drop("text")
+def _findings(found: DataFrame, rules: dict[str, tuple[str, int, str, Column]]) -> DataFrame:
+    """Findings of scanned patterns, each name told as (rule, rank, severity, description)."""
+    pick = lambda k: _by_kind({name: F.lit(r[k]) if not isinstance(r[k], Column) else r[k] for name, r in rules.items()})
+    return found.select(pick(0).alias("rule"), pick(3).alias("description"), pick(2).alias("severity"), "path", "line", pick(1).alias("rank"), "offset", F.col("content").alias("snippet"))
 
 
-def window_rule(corpus: DataFrame, rule: str, anchor: str, lacks: str, before: int, after: int, severity: str = "warning", description: str | Column = "", seq: int = 0) -> DataFrame:
-    """A finding for each anchor whose window lacks a pattern."""
-    found = occurrences(corpus, anchor, {"word": 1} if "(" in anchor.replace("(?", "") else None)
-    found = found.where(~tx.window(F.col("text"), F.col("offset"), before, after).rlike(lacks))
-    return _finding(found, rule, severity, description, seq)
+def window_rule(corpus: DataFrame, rule: str, anchor: str, lacks: str, before: int, after: int, severity: str = "warning", description: str = "", seq: int = 0) -> DataFrame:
+    """A finding for the first anchor of each line whose window lacks a pattern."""
+    found = scan(corpus, [Pattern(rule, anchor, (), before, after, lacks)], lines=0, first_of_line=True)
+    return _findings(found, {rule: (rule, seq, severity, F.lit(description))})
 
 
 def parity(corpus: DataFrame) -> DataFrame:
-    """Style code that gives one platform less than the other: five rules, one finding for a rule, file and line, errors first."""
-    code = corpus.where(F.col("text").rlike(r"shadowColor|elevation|KeyboardAvoidingView|Haptics\.|shadowOffset|shadowOpacity|shadowRadius"))
-    one = window_rule(code, "PP001", r"\bshadowColor\s*:", r"\belevation\s*:", 100, 600, "error", "A shadow color without elevation casts no shadow on Android.", 1)
-    two = window_rule(code, "PP002", r"\belevation\s*:", r"\bshadowColor\s*:", 100, 600, "warning", "Elevation without a shadow color casts no shadow on iOS.", 2)
-    kav = occurrences(code, r"<KeyboardAvoidingView\b")
-    tag = tx.window(F.col("text"), F.col("offset"), 0, 600)
-    behaves, split = tag.rlike(r"\bbehavior\s*="), tag.rlike(PLATFORM_GATE)
-    why = F.when(behaves, "The keyboard behavior is the same on both platforms.").otherwise("The keyboard-avoiding view has no behavior.")
-    three = _finding(kav.where(~behaves | ~split), "PP003", F.when(behaves, "error").otherwise("warning"), why, 3)
-    haptic = r"Haptics\.(impactAsync|notificationAsync|selectionAsync)\s*\("
-    four = window_rule(code, "PP004", haptic, IOS_GUARD, 300, 300, "warning", F.concat(F.lit("Haptics."), F.col("word"), F.lit("() runs without a guard for iOS.")), 4)
-    shadow = r"\b(shadowOffset|shadowOpacity|shadowRadius)\s*:"
-    five = window_rule(code, "PP005", shadow, PLATFORM_GATE, 400, 400, "warning", F.concat(F.col("word"), F.lit(" does nothing on Android.")), 5)
-    return first_findings(one.unionByName(two).unionByName(three).unionByName(four).unionByName(five))
+    """Style code that gives one platform less than the other: five rules in one scan, one finding for a rule, file and line, errors first."""
+    view, behavior, word = r"<KeyboardAvoidingView\b", r"\bbehavior\s*=", F.get("groups", 0)
+    patterns = [
+        Pattern("color", r"\bshadowColor\s*:", (), 100, 600, r"\belevation\s*:"),
+        Pattern("elevation", r"\belevation\s*:", (), 100, 600, r"\bshadowColor\s*:"),
+        Pattern("same", view, (), 0, 600, PLATFORM_GATE, behavior),
+        Pattern("without", view, (), 0, 600, behavior),
+        Pattern("haptic", r"Haptics\.(impactAsync|notificationAsync|selectionAsync)\s*\(", (1,), 300, 300, IOS_GUARD),
+        Pattern("shadow", r"\b(shadowOffset|shadowOpacity|shadowRadius)\s*:", (1,), 400, 400, PLATFORM_GATE),
+    ]
+    told = {
+        "color": ("PP001", 1, "error", F.lit("A shadow color without elevation casts no shadow on Android.")),
+        "elevation": ("PP002", 2, "warning", F.lit("Elevation without a shadow color casts no shadow on iOS.")),
+        "same": ("PP003", 3, "error", F.lit("The keyboard behavior is the same on both platforms.")),
+        "without": ("PP003", 3, "warning", F.lit("The keyboard-avoiding view has no behavior.")),
+        "haptic": ("PP004", 4, "warning", F.concat(F.lit("Haptics."), word, F.lit("() runs without a guard for iOS."))),
+        "shadow": ("PP005", 5, "warning", F.concat(word, F.lit(" does nothing on Android."))),
+    }
+    return first_findings(_findings(scan(corpus, patterns, lines=0, first_of_line=True), told))
 
 
 def first_findings(findings: DataFrame) -> DataFrame:
@@ -83,29 +85,25 @@ def first_findings(findings: DataFrame) -> DataFrame:
 
 
 def violations(corpus: DataFrame) -> DataFrame:
-    """path, line, col, kind, value, nearest, context: literals where a design token should stand."""
-    line = F.trim(tx.line_text(F.col("text"), tx.line_of(F.col("text"), F.col("offset"))))
-    plain = ~F.col("path").rlike(TOKEN_FILES)
-    none = F.lit(None).cast("string")
-
-    def out(found: DataFrame, kind: str, value: Column, nearest: Column) -> DataFrame:
-        at = tx.line_of(F.col("text"), F.col("offset"))
-        return found.select("path", at.alias("line"), tx.column_of(F.col("text"), F.col("offset")).alias("col"), F.lit(kind).alias("kind"), value.alias("value"), nearest.alias("nearest"), tx.context(F.col("text"), at).alias("context"))
-
-    parts = [out(occurrences(corpus.where(plain), r"#([0-9a-fA-F]{3,8})\b").where(~line.rlike(r"^(//|\*)")), "inline-color", F.col("match"), none)]
-    for literal in (r"rgba?\(\s*\d+\s*,\s*\d+\s*,\s*\d+(?:\s*,\s*[\d.]+)?\s*\)", r"hsla?\(\s*\d+\s*,\s*[\d.]+%\s*,\s*[\d.]+%(?:\s*,\s*[\d.]+)?\s*\)"):
-        parts.append(out(occurrences(corpus.where(plain), literal).where(~line.startswith("//")), "inline-color", F.col("match"), none))
-    names = occurrences(corpus, r"""['"]([a-z]{4,})['"]""", {"name": 1}).where(F.col("name").isin(COLOR_NAMES))
-    parts.append(out(names, "inline-color", F.col("name"), none))
-    before = F.substring("text", F.greatest(F.col("offset") - 39, F.lit(1)), F.least(F.col("offset"), F.lit(40)))
-    for kind, pattern, safe, scale in (("magic-spacing", SPACING, [0, 1, 2, 100], SPACING_SCALE), ("magic-radius", RADIUS, range(7), RADIUS_SCALE), ("magic-fontsize", FONT, range(7), FONT_SCALE)):
-        found = occurrences(corpus, pattern, {"key": 1, "n": 2}).withColumn("x", F.col("n").cast("double"))
-        found = found.where(~F.col("x").isin([float(s) for s in safe]) & ~before.rlike(ACCESSOR))
-        parts.append(out(found, kind, F.concat_ws(": ", "key", "n"), nearest_step(F.col("x"), scale)))
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    return all_
+    """path, line, col, kind, value, nearest, context: literals where a design token should stand, from one scan."""
+    number = lambda name, pattern: Pattern(name, pattern, (1, 2), 40, 0, ACCESSOR)
+    patterns = [
+        Pattern("hex", r"#([0-9a-fA-F]{3,8})\b"),
+        Pattern("rgb", r"rgba?\(\s*\d+\s*,\s*\d+\s*,\s*\d+(?:\s*,\s*[\d.]+)?\s*\)"),
+        Pattern("hsl", r"hsla?\(\s*\d+\s*,\s*[\d.]+%\s*,\s*[\d.]+%(?:\s*,\s*[\d.]+)?\s*\)"),
+        Pattern("name", r"""['"]([a-z]{4,})['"]""", (1,)),
+        number("magic-spacing", SPACING),
+        number("magic-radius", RADIUS),
+        number("magic-fontsize", FONT),
+    ]
+    x, kind, plain = F.get("groups", 1).cast("double"), F.col("kind"), ~F.col("path").rlike(TOKEN_FILES)
+    literal = lambda comment: plain & ~F.col("content").rlike(comment)
+    unsafe = lambda safe: ~x.isin([float(s) for s in safe])
+    stays = {"hex": literal(r"^(//|\*)"), "rgb": literal("^//"), "hsl": literal("^//"), "name": F.get("groups", 0).isin(COLOR_NAMES), "magic-spacing": unsafe([0, 1, 2, 100]), "magic-radius": unsafe(range(7)), "magic-fontsize": unsafe(range(7))}
+    steps = {"magic-spacing": nearest_step(x, SPACING_SCALE), "magic-radius": nearest_step(x, RADIUS_SCALE), "magic-fontsize": nearest_step(x, FONT_SCALE)}
+    value = F.when(kind.startswith("magic-"), F.concat_ws(": ", "groups")).when(kind == "name", F.get("groups", 0)).otherwise(F.col("match"))
+    found = scan(corpus, patterns, lines=80).where(_by_kind(stays))
+    return found.select("path", "line", "col", F.when(kind.startswith("magic-"), kind).otherwise("inline-color").alias("kind"), value.alias("value"), _by_kind(steps).cast("string").alias("nearest"), F.col("content").alias("context"))
 
 
 def violation_totals(found: DataFrame) -> DataFrame:

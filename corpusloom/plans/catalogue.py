@@ -93,7 +93,7 @@ LINE_FIRST = """WITH RECURSIVE walk AS (
 
 @query(f"WITH {HREF_SQL} SELECT value, count(*) AS n, min(path) AS first_path FROM hits GROUP BY value HAVING count(*) >= 5")
 def literal_inventory(spark: SparkSession, d: str) -> DataFrame:
-    found = hrefs(spark, d).select("value", "path", tx.line_of(F.col("text"), F.col("offset")).alias("line"))
+    found = hrefs(spark, d).select("value", "path", "line")
     return registry.first_location(found, 5).select("value", "n", "first_path").orderBy(F.col("n").desc(), "value")
 
 
@@ -103,8 +103,7 @@ def literal_inventory(spark: SparkSession, d: str) -> DataFrame:
 def literal_lines(spark: SparkSession, d: str) -> DataFrame:
     """Pages of one URL hold the same path; the table has each URL once."""
     found = extract.occurrences(pages(spark, d), 'href="[^"]+"')
-    at, text = F.col("offset"), F.col("text")
-    return found.select("path", F.col("seq").cast("long").alias("seq"), at.cast("long").alias("offset"), tx.line_of(text, at).cast("long").alias("line"), tx.column_of(text, at).cast("long").alias("col"), "match")
+    return found.select("path", *(F.col(c).cast("long").alias(c) for c in ("seq", "offset", "line", "col")), "match")
 
 
 @query("SELECT tag, count(*) AS n, count(DISTINCT path) AS files FROM (SELECT url AS path, unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag")
