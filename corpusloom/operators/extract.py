@@ -19,7 +19,8 @@ SIZE_KEYS = f"width|height|padding{SIDES}|margin{SIDES}|top|bottom|left|right|fo
 DURATION_KEYS = "duration|delay|damping|stiffness|mass|velocity|overshootClamping"
 NUMBER = r"\s*:\s*(\d+(?:\.\d+)?)"
 TOKEN_REF = r"\b(tokens?|theme|colors?|palette|t|styles?)\.([\w$]+)"
-DEEP_TOKEN_REF = r"\b(tokens?|theme|colors?|palette|t)\.([A-Za-z_$][\w$]*)"
+DEEP_TOKEN_REF = r"\b(tokens?|theme|colors?|palette|t)\.([A-Za-z_$][\w$]*)(?:\.[A-Za-z_$][\w$]*)*"
+ANY_TOKEN_REF = r"\b(tokens?|theme|colors?|palette|t)\.(?=([A-Za-z_$][\w$]*))"
 TOKEN_FILE = r"(?i)(^|[./-])(tokens|theme|themes|colors|palette|design-?system|design-?tokens)\.(tsx?|jsx?)$"
 TOKEN_OR_STYLE_FILE = r"(?i)(^|[./-])(tokens|theme|themes|colors|palette|design-?system|design-?tokens|styles?)\.(tsx?|jsx?)$"
 TOKEN_EXPORT = r"export\s+(?:const|default|let|var)\s+([A-Za-z_$][\w$]*)\s*[:=]"

@@ -28,6 +28,13 @@ def siblings(tags: DataFrame, target: str, primitives: list[str], most: int = 10
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("files").desc(), "tag")))
 
 
+def siblings_by_file(tags: DataFrame, target: str, primitives: list[str], most: int = 10) -> DataFrame:
+    """path, tag, n, rank: what each file that uses a target holds most often besides, without the primitives."""
+    used = tags.where(F.col("tag") == target).select("path").distinct()
+    n = tags.join(used, "path", "left_semi").where(~F.col("tag").isin([target, *primitives])).groupBy("path", "tag").agg(F.count("*").alias("n"))
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy(F.col("n").desc(), "tag"))).where(F.col("rank") <= most)
+
+
 def reused_styles(corpus: DataFrame, least: int = 2) -> DataFrame:
     """path, ref, n: style references that a file uses `least` times or more, a sign of flat hierarchy. Of a list of references the first counts."""
     refs = F.regexp_extract_all("text", F.lit(r"\bstyle=\{\[?\s*([^}\]]+)"), F.lit(1))

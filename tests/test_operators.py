@@ -364,3 +364,32 @@ def test_definitions_in_one_line_and_after_strings(spark):
     assert text[: edit["offset"]] + edit["after"] + text[edit["offset"] + edit["length"] :] == text.replace("'2'", "'3'") and edit["line"] == 3
     assert rewrite.token_value_edit(text, "b.d", "9")["after"] == "const a = { b: { c: '{x}', d: \"9\" } };"
     assert rewrite.token_add_edit(text, "e.d", "2")["status"] == "skipped" and rewrite.token_add_edit(text, "q.d", "2")["status"] == "error"
+
+
+def test_scan_finds_what_a_plain_search_finds(spark):
+    """Random texts against re: place, line, column, groups; and windows past the chunks they are read in."""
+    import random
+    import re
+
+    dice = random.Random(7)
+    texts = {f"p{k}": "".join(dice.choices(["ab", "\n", "é", "😀", "x=1", " x=22 ", "\n\n", "x=", "7", "stop"], k=dice.randint(0, 900))) for k in range(30)}
+    df = spark.createDataFrame([*texts.items(), ("none", None), ("empty", "")], "path string, text string")
+    got = extract.scan(df, [extract.Pattern("x", r"x=(\d+)", (1,)), extract.Pattern("far", r"x=", (), 30, 700, "stop.{9}7", "😀")], lines=5).collect()
+    want = []
+    for path, t in texts.items():
+        for kind, pattern in (("x", r"x=(\d+)"), ("far", "x=")):
+            for k, m in enumerate(re.finditer(pattern, t)):
+                near = t[max(m.start() - 30, 0) : m.start() + 700]
+                if kind == "x" or ("😀" in near and not re.search("stop.{9}7", near)):
+                    line = t.count("\n", 0, m.start()) + 1
+                    want.append((path, kind, k, m.start(), line, m.start() - t.rfind("\n", 0, m.start()), m[0], list(m.groups()), t.split("\n")[line - 1].strip()[:5]))
+    assert sorted((r.path, r.kind, r.seq, r.offset, r.line, r.col, r.match, r.groups, r.content) for r in got) == sorted(want) and len(want) > 500
+
+
+def test_scan_of_a_long_text_with_many_hits(spark):
+    code = "".join(f"padding: 13, color: '#ff00{k % 256:02x}',\n" for k in range(8000))
+    got = rules.violations(corpus(spark, big_tsx=code)).groupBy("kind").agg(F.count("*").alias("n"), F.sum("line").alias("lines"), F.max("col").alias("col"))
+    assert sorted(map(tuple, got.collect())) == [("inline-color", 8000, 32004000, 22), ("magic-spacing", 8000, 32004000, 1)]
+    one = extract.scan(corpus(spark, big_tsx=code.replace("\n", " ")), [extract.Pattern("x", "padding")], lines=80, first_of_line=True)
+    assert [(r.offset, len(r.content)) for r in one.collect()] == [(0, 80)]
+    assert "Exchange" not in one._jdf.queryExecution().toString()
