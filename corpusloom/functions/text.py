@@ -161,6 +161,10 @@ def toml_multiline(text: Column) -> Column:
     return F.when(~body.contains("\'\'\'"), F.concat(F.lit("\'\'\'\n"), body, F.lit("\n\'\'\'"))).otherwise(F.concat(F.lit('"""\n'), escaped, F.lit('\n"""')))
 
 
+def toml_array(texts: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(texts, toml_string), ", "), F.lit("]"))
+
+
 def yaml_needs_quotes(value: Column) -> Column:
     """Whether a plain scalar would be read as something else than its own text."""
     parts = [r"^\s|\s\z", r"""^[\[\]{},&*!|>'"%@`#]""", r"^[?:-](\s|\z)", r": |\s#|:\z", r"(?i)^(true|false|null|yes|no|on|off|~)\z", r"^-?\d+(\.\d+)?([eE][+-]?\d+)?\z"]

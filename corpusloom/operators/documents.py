@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -151,19 +151,6 @@ def named_rules(docs: DataFrame) -> DataFrame:
     return every.groupBy("path", F.lower("name").alias("key")).agg(F.min_by(F.struct("name", "body"), F.struct("style", "k")).alias("r")).select("path", "r.name", "r.body")
 
 
-def colors(docs: DataFrame) -> DataFrame:
-    """path, line, name, value, format, description of color bullets in the Colors section: the value in parentheses behind a bold name or within it, or a bare one."""
-    own = bullets(section_lines(docs).where("section = 'Colors'"))
-    value = r"(#[0-9a-fA-F]{3,8}\b|oklch\([^)]*\))"
-    name = F.regexp_extract("text", r"^\*\*(.+?)\*\*", 1)
-    name = F.nullif(F.trim(F.regexp_replace(name, r"\s*\([^)]*\):?$", "")), F.lit(""))
-    first = F.regexp_extract("text", value, 1)
-    found = own.where(first != "")
-    note = F.nullif(F.trim(tx.strip_bold(F.regexp_extract("text", r"^\*\*.+?\*\*\s*(?:\((?:[^()]|\([^()]*\))*\)\s*:)?\s*(.*)$", 1))), F.lit(""))
-    kind = F.when(first.startswith("#"), "hex").when(first.rlike("(?i)^oklch"), "oklch").otherwise("unknown")
-    return found.select("path", F.col("first_line").alias("line"), name.alias("name"), first.alias("value"), kind.alias("format"), F.coalesce(note, "text").alias("description"))
-
-
 def coverage(docs: DataFrame) -> DataFrame:
     """path, section, present, bullets: which sections each document has, and how many bullets they hold."""
     present = section_lines(docs).groupBy("path", "section").agg(F.count_if(F.col("content").rlike(r"^\s*[-*+]\s+")).alias("bullets"))
@@ -184,6 +171,17 @@ def compiled(skills: DataFrame, providers: DataFrame, known: list[str]) -> DataF
     return out
 
 
+def provider_files(made: DataFrame) -> DataFrame:
+    """provider, name, path, text of the skill file of each row of compiled(): front matter, then the body."""
+    front = F.concat(F.lit("---\nname: "), tx.yaml_scalar(F.col("name")), F.lit("\ndescription: "), tx.yaml_scalar(F.coalesce("description", F.lit(""))), F.lit("\n---\n\n"))
+    return made.select("provider", "name", F.concat(F.lit("."), "provider", F.lit("/skills/"), "name", F.lit("/SKILL.md")).alias("path"), F.concat(front, F.coalesce("body", F.lit(""))).alias("text"))
+
+
+def write_tree(files: DataFrame, folder: str) -> None:
+    """The files as a tree: a folder for each provider, in it one for each skill with the text in one file. Rows of a folder must be one; a folder written before is replaced."""
+    files.select("provider", "name", "text").write.partitionBy("provider", "name").option("lineSep", "\n").mode("overwrite").text(folder)
+
+
 def subsections(docs: DataFrame) -> DataFrame:
     """section_lines() with sub, the level-3 heading above each line (null before the first)."""
     rows = section_lines(docs)
@@ -200,6 +198,76 @@ def items(docs: DataFrame) -> DataFrame:
     return found.select(where.path.alias("path"), where.section.alias("section"), where.sub.alias("sub"), F.col("first_line").alias("line"), "text")
 
 
+#: How colors are written, the words that name a role, the headings in Colors that hold no colors.
+HEX, OKLCH = r"#[0-9a-fA-F]{3,8}\b", r"oklch\([^)]*\)"
+ROLE = r"(?i)^(primary|secondary|tertiary|neutral|accent)\b"
+NO_COLORS = r"(?i)Named Rules?|^The\s"
+#: A bold name with its value in parentheses (which may hold others) behind it, or with its value within the bold.
+_BEHIND = r"^(?>\*\*(.+?)\*\*)\s*\(([^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^()]*+)*+)\)\s*:\s*(.*)$"
+_WITHIN = r"^\*\*([^*]+?)\s*\(([^)]+)\):\*\*\s*(.*)$"
+
+
+def _color(text: Column) -> Column:
+    """name, value, value_range (null for one value), format, description of a bullet; null for one without a color."""
+    values = lambda c: F.concat(F.regexp_extract_all(c, F.lit(HEX), F.lit(0)), F.regexp_extract_all(c, F.lit(OKLCH), F.lit(0)))
+    text = F.trim(text)
+    part = lambda k: F.when(text.rlike(_BEHIND), F.regexp_extract(text, _BEHIND, k)).when(text.rlike(_WITHIN), F.regexp_extract(text, _WITHIN, k))
+    raw = F.coalesce(part(2), F.when(F.size(values(text)) > 0, text))
+    found = values(raw)
+    value = F.when(F.size(found) > 0, F.get(found, F.lit(0))).otherwise(F.trim(raw))
+    clean = lambda c: F.nullif(F.trim(tx.strip_bold(c)), F.lit(""))
+    kind = F.when(value.startswith("#"), "hex").when(value.rlike("(?i)^oklch"), "oklch").when(value.rlike("(?i)^rgb"), "rgb").otherwise("unknown")
+    color = F.struct(clean(part(1)).alias("name"), value.alias("value"), F.when(F.size(found) > 1, found).alias("value_range"), kind.alias("format"), clean(F.coalesce(part(3), text)).alias("description"))
+    return F.when(raw.isNotNull(), color)
+
+
+def colors(docs: DataFrame) -> DataFrame:
+    """path, line, name, value, value_range, format (hex, oklch, rgb, unknown), description of color bullets in the Colors section."""
+    own = bullets(section_lines(docs).where("section = 'Colors'"))
+    return own.select("path", F.col("first_line").alias("line"), _color(F.col("text")).alias("c")).where("c is not null").select("path", "line", "c.*")
+
+
+def color_groups(docs: DataFrame) -> DataFrame:
+    """path, role, line (of the first color), colors (in their order) of the Colors section.
+
+    A level-3 heading is a group; if all its colors are named by roles, each is a group of its own. Headings of rules hold none. Where no heading
+    holds colors, those named by roles are groups and the others make up 'Palette'.
+    """
+    own = items(docs).where("section = 'Colors'").withColumn("c", _color(F.col("text"))).where("c is not null")
+    headed = F.col("sub").isNotNull() & ~F.col("sub").rlike(NO_COLORS)
+    role = F.coalesce(F.col("c.name").rlike(ROLE), F.lit(False))
+    own = own.select("path", "sub", "line", "c", headed.alias("headed"), role.alias("role"))
+    own = own.withColumn("grouped", F.max("headed").over(Window.partitionBy("path"))).where("headed or not grouped")
+    alone = F.when(F.col("grouped"), F.min("role").over(Window.partitionBy("path", "sub"))).otherwise(F.col("role"))
+    own = own.withColumn("alone", alone)
+    name = F.when(F.col("alone"), F.col("c.name")).when(F.col("grouped"), F.col("sub")).otherwise("Palette")
+    made = own.groupBy("path", name.alias("role"), F.when(F.col("alone"), F.col("line")).alias("own")).agg(F.array_sort(F.collect_list(F.struct("line", "c"))).alias("x"))
+    return made.select("path", "role", F.get("x", F.lit(0)).line.alias("line"), F.transform("x", lambda x: x["c"]).alias("colors"))
+
+
+def subtitles(docs: DataFrame) -> DataFrame:
+    """path, section, subtitle: what follows the colon in the first level-2 heading of each section."""
+    head = F.regexp_replace(tx.strip_bold(F.regexp_extract("content", r"^##\s+(.+?)\s*$", 1)), r"^\d+\.\s*", "")
+    rows = lines(docs).select("path", "line", head.alias("head")).where("head <> ''").withColumn("section", canonical(F.regexp_extract("head", r"^[^:]*", 0)))
+    first = rows.where("section is not null").groupBy("path", "section").agg(F.min_by("head", "line").alias("head"))
+    return first.select("path", "section", F.nullif(F.trim(F.regexp_extract("head", r"^[^:]*:(.*)$", 1)), F.lit("")).alias("subtitle"))
+
+
+def overview(docs: DataFrame) -> DataFrame:
+    """path, subtitle, north_star, philosophy (paragraphs), characteristics (bullets below their mark) of each document with an Overview."""
+    own = section_lines(docs).where("section = 'Overview'").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "content"))).alias("x"))
+    own = own.select("path", F.transform("x", lambda x: x["content"]).alias("rows")).withColumn("text", F.array_join("rows", "\n"))
+    ends = lambda r: (F.trim(r) == "") | F.trim(r).rlike(r"^(-{3,}|\*{3,}|_{3,})$") | r.rlike(r"^#|^[-*]\s")
+    paragraphs = F.split(F.array_join(F.transform("rows", lambda r: F.when(ends(r), F.lit("\x01")).otherwise(F.trim(r))), " "), "\x01")
+    paragraphs = F.filter(F.transform(paragraphs, lambda p: F.trim(p)), lambda p: (p != "") & ~p.rlike(r"^\*\*(Creative North Star|Key Characteristics)"))
+    marked = F.regexp_extract("text", r"\*\*Key Characteristics:\*\*\s*\n([\s\S]+?)(?:\n##|\z)", 1)
+    traits = F.filter(F.split(marked, "\n"), lambda r: r.rlike(r"^\s*[-*]\s+\S"))
+    traits = F.transform(traits, lambda r: tx.strip_bold(F.trim(F.regexp_replace(r, r"^\s*[-*]\s+", ""))))
+    star = F.nullif(F.regexp_extract("text", r'\*\*Creative North Star:\s*"([^"]+)"\*\*', 1), F.lit(""))
+    named = subtitles(docs).where("section = 'Overview'").select("path", "subtitle")
+    return own.join(named, "path", "left").select("path", "subtitle", star.alias("north_star"), paragraphs.alias("philosophy"), traits.alias("characteristics"))
+
+
 #: The words that make a component's bullet a variant, not a property.
 VARIANT = r"(?i)^(primary|secondary|tertiary|ghost|hover|focus|active|disabled|default|error|selected|unselected|state)\b"
 

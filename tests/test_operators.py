@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as tx
 from corpusloom.operators import a11y, documents, extract, graph, navigation, project, registry, rewrite, rules, sequence, tokens
 from corpusloom.sources import corpus as src
 
@@ -393,3 +394,52 @@ def test_scan_of_a_long_text_with_many_hits(spark):
     one = extract.scan(corpus(spark, big_tsx=code.replace("\n", " ")), [extract.Pattern("x", "padding")], lines=80, first_of_line=True)
     assert [(r.offset, len(r.content)) for r in one.collect()] == [(0, 80)]
     assert "Exchange" not in one._jdf.queryExecution().toString()
+
+
+PALETTE = """## 1. Overview: Calm and clear
+**Creative North Star: "The Quiet Room"**
+
+It stays
+out of the way.
+
+**Key Characteristics:**
+- **Even** light
+* Few words
+
+## Colors
+### Primary
+- **Primary Blue** (#0000ff to #000088): links
+- **Accent** (rgb(1, 2, 3)): marks
+### Grays
+- **Ink (#000):** text
+- **Fog** (a warm (soft) haze): ground
+- plain oklch(0.5 0.1 20) value
+- nothing here
+### Named Rules
+- **Primary Rule** (#111): no group
+"""
+
+
+def test_overview_and_color_groups(spark):
+    c = corpus(spark, d_md=PALETTE, flat_md="## Colors\n- **Neutral** (#eee): n\n- **Sky** (#0af): s\n- bare #123\n", none_md="no sections")
+    found = documents.colors(c).where("path not like '%flat%'")
+    assert rows(found.fillna("-"), "value", "format", "name", "description") == [
+        ("#000", "hex", "Ink", "text"), ("#0000ff", "hex", "Primary Blue", "links"), ("#111", "hex", "Primary Rule", "no group"), ("a warm (soft) haze", "unknown", "Fog", "ground"),
+        ("oklch(0.5 0.1 20)", "oklch", "-", "plain oklch(0.5 0.1 20) value"), ("rgb(1, 2, 3)", "rgb", "Accent", "marks"),
+    ]
+    assert [r.value_range for r in found.where("value_range is not null").collect()] == [["#0000ff", "#000088"]]
+    groups = documents.color_groups(c).select("role", F.transform("colors", lambda x: x["value"]).alias("v"))
+    assert rows(groups, "role", "v") == [
+        ("Accent", ["rgb(1, 2, 3)"]), ("Grays", ["#000", "a warm (soft) haze", "oklch(0.5 0.1 20)"]), ("Neutral", ["#eee"]), ("Palette", ["#0af", "#123"]), ("Primary Blue", ["#0000ff"]),
+    ]
+    assert rows(documents.overview(c), "subtitle", "north_star", "philosophy", "characteristics") == [("Calm and clear", "The Quiet Room", ["It stays out of the way."], ["Even light", "Few words"])]
+
+
+def test_provider_tree(spark, tmp_path):
+    made = spark.createDataFrame([("p", "fix-it", "D: e", "Body\n\nmore"), ("q", "fix-it", None, None)], "provider string, name string, description string, body string")
+    files = documents.provider_files(made)
+    assert rows(files, "path", "text") == [(".p/skills/fix-it/SKILL.md", '---\nname: fix-it\ndescription: "D: e"\n---\n\nBody\n\nmore'), (".q/skills/fix-it/SKILL.md", '---\nname: fix-it\ndescription: ""\n---\n\n')]
+    documents.write_tree(files, str(tmp_path / "out"))
+    back = spark.read.text(str(tmp_path / "out" / "provider=p" / "name=fix-it"), wholetext=True).first().value
+    assert back == files.where("provider = 'p'").first().text + "\n"
+    assert spark.range(1).select(tx.toml_array(F.array(F.lit("a"), F.lit('b"c'))).alias("t")).first().t == '["a", "b\\"c"]'
