@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: The nine basic names.
 BASIC_NAMES = {
     "black": "#000000",
@@ -36,15 +38,24 @@ def rgb_hex(r: Column, g: Column, b: Column) -> Column:
     return F.concat(F.lit("#"), part(r), part(g), part(b))
 
 
+def _channels(six: Column) -> Column:
+    return F.struct(*(channel(six, k).alias(c) for k, c in enumerate("rgb")))
+
+
 def lab(six: Column) -> Column:
-    """CIE Lab (D65) of six hex digits, as a struct L, a, b."""
-    linear = [F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4))) for c in (channel(six, k) for k in range(3))]
-    r, g, b = linear
-    x = (0.4124564 * r + 0.3575761 * g + 0.1804375 * b) / 0.95047
-    y = 0.2126729 * r + 0.7151522 * g + 0.0721750 * b
-    z = (0.0193339 * r + 0.1191920 * g + 0.9503041 * b) / 1.08883
+    """CIE Lab (D65) of six hex digits, as a struct L, a, b. Each step is worked out once."""
+    linear = lambda c: F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
     f = lambda t: F.when(t > 216 / 24389, F.cbrt(t)).otherwise((24389 / 27 * t + 16) / 116)
-    return F.struct((116 * f(y) - 16).alias("L"), (500 * (f(x) - f(y))).alias("a"), (200 * (f(y) - f(z))).alias("b"))
+
+    def xyz(v: Column) -> Column:
+        r, g, b = v["r"], v["g"], v["b"]
+        x = (0.4124564 * r + 0.3575761 * g + 0.1804375 * b) / 0.95047
+        y = 0.2126729 * r + 0.7151522 * g + 0.0721750 * b
+        z = (0.0193339 * r + 0.1191920 * g + 0.9503041 * b) / 1.08883
+        return let(F.struct(x.alias("x"), y.alias("y"), z.alias("z")), lambda p: F.struct(*(f(p[c]).alias(c) for c in "xyz")))
+
+    own = let(_channels(six), lambda v: F.struct(*(linear(v[c]).alias(c) for c in "rgb")))
+    return let(let(own, xyz), lambda p: F.struct((116 * p["y"] - 16).alias("L"), (500 * (p["x"] - p["y"])).alias("a"), (200 * (p["y"] - p["z"])).alias("b")))
 
 
 def delta_e(p: Column, q: Column) -> Column:
@@ -73,13 +84,17 @@ def delta_e(p: Column, q: Column) -> Column:
 
 
 def hsl(six: Column) -> Column:
-    """Hue in degrees, saturation and lightness of six hex digits."""
-    r, g, b = (channel(six, k) for k in range(3))
-    high, low = F.greatest(r, g, b), F.least(r, g, b)
-    d, light = high - low, (high + low) / 2
-    sat = F.when(d == 0, F.lit(0.0)).otherwise(d / F.when(light > 0.5, 2 - high - low).otherwise(high + low))
-    hue = F.when(d == 0, F.lit(0.0)).when(high == r, F.pmod((g - b) / d, F.lit(6.0))).when(high == g, (b - r) / d + 2).otherwise((r - g) / d + 4) * 60
-    return F.struct(hue.alias("h"), sat.alias("s"), light.alias("l"))
+    """Hue in degrees, saturation and lightness of six hex digits. Each step is worked out once."""
+
+    def parts(v: Column) -> Column:
+        r, g, b, high, low = (v[c] for c in ("r", "g", "b", "high", "low"))
+        d, light = high - low, (high + low) / 2
+        sat = F.when(d == 0, F.lit(0.0)).otherwise(d / F.when(light > 0.5, 2 - high - low).otherwise(high + low))
+        hue = F.when(d == 0, F.lit(0.0)).when(high == r, F.pmod((g - b) / d, F.lit(6.0))).when(high == g, (b - r) / d + 2).otherwise((r - g) / d + 4) * 60
+        return F.struct(hue.alias("h"), sat.alias("s"), light.alias("l"))
+
+    bounds = lambda v: F.struct(*(v[c].alias(c) for c in "rgb"), F.greatest(*(v[c] for c in "rgb")).alias("high"), F.least(*(v[c] for c in "rgb")).alias("low"))
+    return let(let(_channels(six), bounds), parts)
 
 
 def hue_family(h: Column) -> Column:

@@ -58,8 +58,8 @@ def leader_clusters(registry: DataFrame, tolerance: float, by: list[str] | None
 
 
 def delta_e(lab: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """CIEDE2000 of one Lab triple and rows of them."""
-    (l1, a1, b1), (l2, a2, b2) = lab, others.T
+    """CIEDE2000 of Lab triples and others, on the last axis of either; the axes before it broadcast."""
+    (l1, a1, b1), (l2, a2, b2) = np.moveaxis(lab, -1, 0), np.moveaxis(others, -1, 0)
     c7 = ((np.hypot(a1, b1) + np.hypot(a2, b2)) / 2) ** 7
     g = 1 + 0.5 * (1 - np.sqrt(c7 / (c7 + 25.0**7)))
     c1, c2 = np.hypot(g * a1, b1), np.hypot(g * a2, b2)
@@ -78,34 +78,99 @@ def delta_e(lab: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.sqrt(dl**2 + dc**2 + dh**2 + rt * dc * dh)
 
 
+def _reach(chroma: np.ndarray, least: float, most: float, warm: np.ndarray, threshold: float) -> np.ndarray:
+    """A bound on the distance in the (a, b) plane of colors of a chroma to any of a chroma from `least` to `most` within a CIEDE2000 threshold.
+
+    The mean chroma m' is at most (1 + G) times the mean of both, and G falls with it. The rotation term is at most sqrt(3) sqrt(m'^7 / (m'^7 + 25^7)), and
+    next to nothing where both hues are in 0..180 (`warm`), far from 275. So (dC / S_C)^2 + (dH / S_H)^2 <= threshold^2 / (1 - R / 2), and S_H <= S_C =
+    1 + 0.045 m'; a distance in (a, b) is no larger than in (a', b).
+    """
+    part = lambda c: np.sqrt(c**7 / (c**7 + 25.0**7))
+    m = (1 + 0.5 * (1 - part((chroma + least) / 2))) * (chroma + most) / 2
+    turn = np.where(warm, 1e-5, np.sqrt(3) * part(m))
+    return threshold / np.sqrt(1 - turn / 2) * (1 + 0.045 * m) + 1e-6
+
+
+class _Leaders:
+    """Leaders in order; a color's first leader within the threshold, found among those that its cell of the Lab space can reach."""
+
+    CELL = np.array([4.0, 8.0, 8.0])
+
+    def __init__(self, threshold: float):
+        self.threshold, self.n, self.held, self.rows = threshold, 0, 0, np.zeros((1024, 3))
+
+    def add(self, lab: np.ndarray) -> int:
+        if self.n == len(self.rows):
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+        self.rows[self.n] = lab
+        self.n += 1
+        return self.n - 1
+
+    def first(self, labs: np.ndarray) -> np.ndarray:
+        """The place of each color's first leader, -1 if there is none yet."""
+        out = np.full(len(labs), -1)
+        known = self.rows[: self.n]
+        if not self.n:
+            return out
+        cells, own = np.unique(np.floor(labs / self.CELL), axis=0, return_inverse=True)
+        order = np.argsort(own.ravel(), kind="stable")
+        bounds = np.searchsorted(own.ravel()[order], np.arange(len(cells) + 1))
+        chroma, half = np.hypot(known[:, 1], known[:, 2]), np.hypot(*self.CELL[1:]) / 2
+        high = 1.75 * self.threshold + self.CELL[0] / 2  # S_L <= 1 + 0.015 * 2500 / sqrt(2520) < 1.75 for L in 0..100
+        for k, cell in enumerate((cells + 0.5) * self.CELL):
+            own_chroma = np.hypot(cell[1], cell[2])
+            warm = (known[:, 2] >= 0) & (cell[2] >= self.CELL[2] / 2)
+            reach = _reach(chroma, max(0.0, own_chroma - half), own_chroma + half, warm, self.threshold) + half
+            near = np.flatnonzero((np.abs(known[:, 0] - cell[0]) <= high) & (np.hypot(known[:, 1] - cell[1], known[:, 2] - cell[2]) <= reach))
+            for at in np.array_split(order[bounds[k] : bounds[k + 1]], 1 + (bounds[k + 1] - bounds[k]) * len(near) // 1_000_000):
+                if len(near) and len(at):
+                    self.held += len(at) * len(near)
+                    hits = delta_e(labs[at][:, None], known[near]) <= self.threshold
+                    out[at] = np.where(hits.any(axis=1), near[hits.argmax(axis=1)], -1)
+        return out
+
+
+#: Colors that are held against the leaders at once.
+_BLOCK = 16_384
+
+
 def color_clusters(registry: DataFrame, threshold: float = 3.5) -> DataFrame:
     """id, leader, members (array), usage of clusters of colors (hex #rrggbb, usages) that look alike.
 
     In order of usage (then hex) a color joins the first leader within the CIEDE2000 threshold, else leads. Each choice depends on
-    all before it, so this is one fold over the distinct colors (a palette: usages are summed before it); as one
-    expression it would not end, so it runs in an Arrow function. Ids number the clusters as they begin, rows come by usage.
+    all before it, so one Arrow task goes through the distinct colors (16,777,216 at most; usages are summed before it). It reads
+    them as a sorted stream and holds the leaders and one block of colors; each color is held only against leaders near it. Ids
+    number the clusters as they begin, rows come by usage.
     """
     own = registry.groupBy("hex").agg(F.sum("usages").alias("usages")).withColumn("lab", co.lab(F.substring("hex", 2, 6)))
-    cells = own.agg(F.array_sort(F.collect_list(F.struct((-F.col("usages")).alias("order"), "hex", "usages", "lab.L", "lab.a", "lab.b"))).alias("cells"))
+    cells = own.select("hex", "usages", "lab.L", "lab.a", "lab.b").repartition(1).sortWithinPartitions(F.col("usages").desc(), "hex")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaders, names = _Leaders(threshold), []
+
+        def told(hexes: list[str], usages: pa.Array, labs: np.ndarray) -> pa.RecordBatch:
+            place = leaders.first(labs)
+            left = np.flatnonzero(place < 0)
+            while len(left):
+                k, left = left[0], left[1:]
+                place[k] = leaders.add(labs[k])
+                names.append(hexes[k])
+                joins = delta_e(labs[left], labs[k]) <= threshold
+                place[left[joins]] = place[k]
+                left = left[~joins]
+            return pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array([names[p] for p in place], pa.string()), pa.array(hexes, pa.string()), usages], ["place", "leader", "hex", "usages"])
+
         for batch in batches:
-            for row in batch.column("cells").to_pylist():
-                labs, found = np.zeros((0, 3)), []
-                for x in row:
-                    lab = np.array([x["L"], x["a"], x["b"]])
-                    near = np.flatnonzero(delta_e(lab, labs) <= threshold)
-                    if len(near):
-                        found[near[0]][1].append(x["hex"])
-                        found[near[0]][2] += x["usages"]
-                    else:
-                        labs = np.vstack([labs, lab])
-                        found.append([x["hex"], [x["hex"]], x["usages"]])
-                ids = [f"color-cluster-{k + 1}" for k in range(len(found))]
-                cols = [pa.array(ids, pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.string())), pa.array([f[2] for f in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "leader", "members", "usage"])
-
-    return cells.mapInArrow(fold, "id string, leader string, members array<string>, usage long").orderBy(F.col("usage").desc(), "leader")
+            for at in range(0, batch.num_rows, _BLOCK):
+                part = batch.slice(at, _BLOCK)
+                labs = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in ("L", "a", "b")], axis=1)
+                yield told(part.column("hex").to_pylist(), part.column("usages").cast(pa.int64()), labs)
+
+    joined = cells.mapInArrow(fold, "place long, leader string, hex string, usages long")
+    members = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("usages")).alias("order"), "hex"))), lambda x: x["hex"])
+    found = joined.groupBy("place", "leader").agg(members.alias("members"), F.sum("usages").alias("usage"))
+    out = found.select(F.concat(F.lit("color-cluster-"), F.col("place") + 1).alias("id"), "leader", "members", "usage")
+    return out.orderBy(F.col("usage").desc(), "leader")
 
 
 class _Lab:

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import color as co
 from corpusloom.functions import text as tx
 from corpusloom.operators import a11y, documents, extract, graph, navigation, project, registry, rewrite, rules, sequence, tokens
 from corpusloom.sources import corpus as src
@@ -443,3 +444,33 @@ def test_provider_tree(spark, tmp_path):
     back = spark.read.text(str(tmp_path / "out" / "provider=p" / "name=fix-it"), wholetext=True).first().value
     assert back == files.where("provider = 'p'").first().text + "\n"
     assert spark.range(1).select(tx.toml_array(F.array(F.lit("a"), F.lit('b"c'))).alias("t")).first().t == '["a", "b\\"c"]'
+
+
+def test_color_clusters_are_the_plain_fold(spark):
+    """Against a fold that holds every color against every leader; colors of all hues, with greys, ties of usage and blocks that split."""
+    import random
+
+    import numpy as np
+
+    pick = random.Random(5)
+    hexes = sorted({f"#{pick.randrange(1 << 24):06x}" for _ in range(2500)} | {f"#{k:02x}{k:02x}{k:02x}" for k in range(0, 256, 3)} | {f"#0000{k:02x}" for k in range(128, 256)})
+    usages = {h: pick.randrange(1, 4) for h in hexes}
+    df = spark.createDataFrame(list(usages.items()), "hex string, usages long")
+    for threshold in (3.5, 9.0):
+        labs = {r.hex: np.array(r.lab) for r in df.select("hex", co.lab(F.substring("hex", 2, 6)).alias("lab")).collect()}
+        plain, known = [], np.zeros((0, 3))
+        for h in sorted(hexes, key=lambda h: (-usages[h], h)):
+            near = np.flatnonzero(registry.delta_e(labs[h], known) <= threshold)
+            if len(near):
+                plain[near[0]].append(h)
+            else:
+                plain.append([h])
+                known = np.vstack([known, labs[h]])
+        got = {r.id: (r.leader, r.members, r.usage) for r in registry.color_clusters(df, threshold).collect()}
+        assert got == {f"color-cluster-{k + 1}": (m[0], m, sum(usages[h] for h in m)) for k, m in enumerate(plain)}
+        leaders = registry._Leaders(threshold)
+        for x in known:
+            leaders.add(x)
+        all_labs = np.array([labs[h] for h in hexes])
+        assert leaders.first(all_labs).tolist() == [int(np.flatnonzero(registry.delta_e(x, known) <= threshold)[0]) for x in all_labs]
+        assert leaders.held < len(all_labs) * len(known) / 2
