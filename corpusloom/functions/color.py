@@ -90,7 +90,7 @@ def hsl(six: Column) -> Column:
         r, g, b, high, low = (v[c] for c in ("r", "g", "b", "high", "low"))
         d, light = high - low, (high + low) / 2
         sat = F.when(d == 0, F.lit(0.0)).otherwise(d / F.when(light > 0.5, 2 - high - low).otherwise(high + low))
-        hue = F.when(d == 0, F.lit(0.0)).when(high == r, F.pmod((g - b) / d, F.lit(6.0))).when(high == g, (b - r) / d + 2).otherwise((r - g) / d + 4) * 60
+        hue = F.when(d == 0, F.lit(0.0)).when(high == r, ((g - b) / d + 6) % 6).when(high == g, (b - r) / d + 2).otherwise((r - g) / d + 4) * 60
         return F.struct(hue.alias("h"), sat.alias("s"), light.alias("l"))
 
     bounds = lambda v: F.struct(*(v[c].alias(c) for c in "rgb"), F.greatest(*(v[c] for c in "rgb")).alias("high"), F.least(*(v[c] for c in "rgb")).alias("low"))
