@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,11 +51,7 @@ class Pattern(NamedTuple):
 
 
 _CHUNK = 512
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once, however often body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+_let = tx.let
 
 
 def _starts(pieces: Column) -> Column:
@@ -85,7 +80,7 @@ def _starts(pieces: Column) -> Column:
 def _matches(text: Column, chunks: Column, p: Pattern, first_of_line: bool) -> Column:
     """The matches of a pattern in order: kind, seq, offset, line, col, match, groups. Each text is read a fixed number of times, however many matches it has."""
     every = lambda g: F.regexp_extract_all(text, F.lit(p.regex), F.lit(g))
-    base = F.struct(F.split(text, p.regex, -1).alias("seg"), every(0).alias("hits"), *(every(g).alias(f"g{g}") for g in p.groups))
+    base = lambda hits: F.struct(F.split(text, p.regex, -1).alias("seg"), hits.alias("hits"), *(every(g).alias(f"g{g}") for g in p.groups))
 
     def near(at: Column) -> Column:
         start = F.greatest(at - p.before, F.lit(0))
@@ -112,7 +107,7 @@ def _matches(text: Column, chunks: Column, p: Pattern, first_of_line: bool) -> C
         return found if p.lacks is None and p.holds is None else F.filter(found, stays)
 
     none = F.array().cast("array<struct<kind:string,seq:int,offset:int,line:int,col:int,match:string,groups:array<string>>>")
-    found = F.when(text.rlike(p.regex), _let(base, rows)).otherwise(none)
+    found = _let(every(0), lambda hits: F.when(F.size(hits) > 0, _let(base(hits), rows)).otherwise(none))
     if first_of_line:
         found = _let(found, lambda all_: F.filter(all_, lambda h, i: (i == 0) | (h["line"] != F.get(all_, i - 1)["line"])))
     return found

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import a11y, extract, graph, navigation, project, registry, rewrite, rules, tokens
+from ..sources.space import Space
 from .catalogue import derived_hex, query, table
 
 K = "p_partkey"
@@ -77,7 +78,8 @@ def line_column(n: int) -> Column:
 
 
 def style_files(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part").select(K)
+    """Keys are small and their texts long, so keys are dealt to four tasks a core before texts are rendered."""
+    part = table(spark, d, "part").select(K).repartition(4 * spark.sparkContext.defaultParallelism, K)
     return part.select(F.concat(F.lit("src/screens/S"), K, F.lit(".tsx")).alias("path"), F.concat_ws("\n", *(line_column(n) for n in range(1, len(LINES) + 1))).alias("text"))
 
 
@@ -101,6 +103,7 @@ SELECT kind || ' ' || value AS value, n, string_agg(path || ':' || line, ' ' ORD
 def style_inventory(spark: SparkSession, d: str) -> DataFrame:
     """Values on three places or more, with their first twenty."""
     found = extract.literals(style_files(spark, d)).select(F.concat_ws(" ", "kind", "value").alias("value"), "path", "line")
+    found = Space(spark, "style-literals").keep(found, "found")  # texts are scanned once, though counts and places both read this
     places = F.array_join(F.transform("locations", lambda x: F.concat_ws(":", x["path"], x["line"])), " ")
     return registry.inventory(found).select("value", "n", places.alias("places"))
 
