@@ -17,6 +17,8 @@ SIDES = "(?:Top|Bottom|Left|Right|Horizontal|Vertical)?"
 SIZE_KEYS = f"width|height|padding{SIDES}|margin{SIDES}|top|bottom|left|right|fontSize|lineHeight|letterSpacing|borderWidth|{RADIUS_KEYS}|gap|rowGap|columnGap|flex(?:Basis)?|minWidth|maxWidth|minHeight|maxHeight"
 DURATION_KEYS = "duration|delay|damping|stiffness|mass|velocity|overshootClamping"
 NUMBER = r"\s*:\s*(\d+(?:\.\d+)?)"
+#: What every key before a number holds: 3 to 23 letters up to the colon. Told first, it spares most places the tries of all keys.
+BEFORE_NUMBER = r"(?=[A-Za-z]{3,23}+\s*:\s*\d)"
 TOKEN_REF = r"\b(tokens?|theme|colors?|palette|t|styles?)\.([\w$]+)"
 DEEP_TOKEN_REF = r"\b(tokens?|theme|colors?|palette|t)\.([A-Za-z_$][\w$]*)(?:\.[A-Za-z_$][\w$]*)*"
 ANY_TOKEN_REF = r"\b(tokens?|theme|colors?|palette|t)\.(?=([A-Za-z_$][\w$]*))"
@@ -155,7 +157,7 @@ def _by_kind(cases: dict[str, Column]) -> Column:
 
 def literals(corpus: DataFrame) -> DataFrame:
     """path, kind, value, line of colors, radii, sizes and durations, from one scan. A number taken as a radius is not a size."""
-    number = lambda name, keys: Pattern(name, f"(?:{keys}){NUMBER}", (1,))
+    number = lambda name, keys: Pattern(name, f"{BEFORE_NUMBER}(?:{keys}){NUMBER}", (1,))
     found = scan(corpus, [Pattern("hex", HEX), Pattern("rgb", RGB), number("radius", RADIUS_KEYS), number("size", SIZE_KEYS), number("duration", DURATION_KEYS)])
     color, n = F.col("kind").isin("hex", "rgb"), F.get("groups", 0).cast("double")
     found = found.where(color | (n > F.when(F.col("kind") == "size", 1.0).otherwise(0.0))).where((F.col("kind") != "size") | ~F.col("match").rlike(f"^(?:{RADIUS_KEYS})\\b"))

@@ -474,3 +474,13 @@ def test_color_clusters_are_the_plain_fold(spark):
         all_labs = np.array([labs[h] for h in hexes])
         assert leaders.first(all_labs).tolist() == [int(np.flatnonzero(registry.delta_e(x, known) <= threshold)[0]) for x in all_labs]
         assert leaders.held < len(all_labs) * len(known) / 2
+
+
+def test_keys_are_told_before_they_are_tried():
+    """Every key fits what is looked for ahead of it."""
+    import itertools
+    import re
+
+    keys = [a + b for part in f"{extract.SIZE_KEYS}|{extract.DURATION_KEYS}".replace(extract.SIDES, "+").replace("(?:Basis)?", "!").split("|") for a, b in itertools.product([part.rstrip("+!")], {"+": re.findall("[A-Z][a-z]+", extract.SIDES) + [""], "!": ["", "Basis"]}.get(part[-1], [""]))]
+    assert "paddingTop" in keys and "flexBasis" in keys and len(keys) > 40
+    assert all(re.match(extract.BEFORE_NUMBER, f"{k} : 1") for k in keys)
