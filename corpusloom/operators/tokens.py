@@ -22,16 +22,32 @@ def seeded(cells: DataFrame, definitions: DataFrame) -> DataFrame:
     return definitions.join(uses, "token", "full").select("token", "defined_in", "value", F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
+def _by_scope(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("token", "file").agg(F.bool_or("in_scope").alias("in_scope"))
+
+
+def consumer_counts(cells: DataFrame) -> DataFrame:
+    """token, in_files, out_files (distinct files), only_outside."""
+    return _by_scope(cells).groupBy("token").agg(F.count_if("in_scope").alias("in_files"), F.count_if(~F.col("in_scope")).alias("out_files"), (~F.bool_or("in_scope")).alias("only_outside"))
+
+
 def consumers(cells: DataFrame, most: int = 10) -> DataFrame:
-    """token, in_files, out_files (distinct files), out_sample (the first `most`), only_outside."""
-    by_file = cells.groupBy("token", "file").agg(F.bool_or("in_scope").alias("in_scope"))
-    counts = by_file.groupBy("token").agg(F.count_if("in_scope").alias("in_files"), F.count_if(~F.col("in_scope")).alias("out_files"), (~F.bool_or("in_scope")).alias("only_outside"))
-    return counts.join(_sample(by_file.where(~F.col("in_scope")), most, "out_sample"), "token", "left").select("token", "in_files", "out_files", F.coalesce("out_sample", F.array()).alias("out_sample"), "only_outside")
+    """consumer_counts() with out_sample, the first `most` files outside."""
+    sample = _sample(_by_scope(cells).where(~F.col("in_scope")), most, "out_sample")
+    return consumer_counts(cells).join(sample, "token", "left").select("token", "in_files", "out_files", F.coalesce("out_sample", F.array()).alias("out_sample"), "only_outside")
 
 
 def _sample(rows: DataFrame, most: int, name: str) -> DataFrame:
-    """token and an array of its first files."""
-    return firsts(rows.select("token", "file"), ["token"], ["file"], most).groupBy("token").agg(F.array_sort(F.collect_list("file")).alias(name))
+    """token and an array of its first files (token, file: distinct).
+
+    The least files of the buckets of a token are distinct files, so the `most`-th of them is no less than its `most`-th file of all: only
+    files up to there are ordered, and no task sorts all files of a token. A token of fewer buckets keeps all its files.
+    """
+    own = rows.select("token", "file")
+    least = own.groupBy("token", F.pmod(F.xxhash64("file"), F.lit(64 * most)).alias("bucket")).agg(F.min("file").alias("file"))
+    bound = firsts(least, ["token"], ["file"], most).groupBy("token").agg(F.when(F.count("*") == most, F.max("file")).alias("bound"))
+    near = own.join(F.broadcast(bound), "token").where(F.col("bound").isNull() | (F.col("file") <= F.col("bound"))).select("token", "file")
+    return firsts(near, ["token"], ["file"], most).groupBy("token").agg(F.array_sort(F.collect_list("file")).alias(name))
 
 
 def naming_bonus(a: Column, b: Column) -> Column:
@@ -118,13 +134,21 @@ def sparse_top(cells: DataFrame, most: int = 200) -> DataFrame:
     return cells.orderBy(F.col("n").desc(), "token", "file").limit(most)
 
 
-def blast_radius(cells: DataFrame, targets: DataFrame, most: int = 20) -> DataFrame:
-    """token, hits (anywhere), other_files (distinct files outside the targets), sample: of the tokens that target files (path) use."""
+def _by_target(cells: DataFrame, targets: DataFrame) -> DataFrame:
     own = targets.select(F.col("path").alias("file")).distinct().withColumn("own", F.lit(True))
-    by_file = cells.groupBy("token", "file").agg(F.sum("n").alias("n")).join(own, "file", "left")
-    other = F.col("own").isNull()
-    counts = by_file.groupBy("token").agg(F.sum("n").alias("hits"), F.count_if(other).alias("other_files"), F.bool_or("own").alias("used")).where("used")
-    out = counts.join(_sample(by_file.where(other), most, "sample"), "token", "left")
+    return cells.groupBy("token", "file").agg(F.sum("n").alias("n")).join(own, "file", "left")
+
+
+def blast_counts(cells: DataFrame, targets: DataFrame) -> DataFrame:
+    """token, hits (anywhere), other_files (distinct files outside the targets): of the tokens that target files (path) use."""
+    counts = _by_target(cells, targets).groupBy("token").agg(F.sum("n").alias("hits"), F.count_if(F.col("own").isNull()).alias("other_files"), F.bool_or("own").alias("used"))
+    return counts.where("used").select("token", "hits", "other_files")
+
+
+def blast_radius(cells: DataFrame, targets: DataFrame, most: int = 20) -> DataFrame:
+    """blast_counts() with sample, the first `most` of the other files."""
+    sample = _sample(_by_target(cells, targets).where(F.col("own").isNull()), most, "sample")
+    out = blast_counts(cells, targets).join(sample, "token", "left")
     return out.select("token", "hits", "other_files", F.coalesce("sample", F.array()).alias("sample")).orderBy(F.col("other_files").desc(), "token")
 
 

@@ -10,6 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: list[str] = []
 
 
+def tasks(df: DataFrame, mb: int) -> int:
+    """How many tasks give each `mb` MB of the files and local rows that df reads, so that a task's share does not grow with the input."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [str(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    return max(1, -(-sum(int(x) for x in sizes if int(x) < 1 << 60) // (mb << 20)))
+
+
 class Space:
     """Named tables under spark.checkpoint.dir (a temporary folder where it is unset and Spark is local)."""
 

@@ -484,3 +484,24 @@ def test_keys_are_told_before_they_are_tried():
     keys = [a + b for part in f"{extract.SIZE_KEYS}|{extract.DURATION_KEYS}".replace(extract.SIDES, "+").replace("(?:Basis)?", "!").split("|") for a, b in itertools.product([part.rstrip("+!")], {"+": re.findall("[A-Z][a-z]+", extract.SIDES) + [""], "!": ["", "Basis"]}.get(part[-1], [""]))]
     assert "paddingTop" in keys and "flexBasis" in keys and len(keys) > 40
     assert all(re.match(extract.BEFORE_NUMBER, f"{k} : 1") for k in keys)
+
+
+def test_samples_are_the_first_files(spark):
+    """Of tokens with many files and with few, without a sort of all files."""
+    cells = spark.range(5000).selectExpr("concat('t', id % 3) as token", "id * 7919 % 5003 as file", "id % 3 = 1 as in_scope", "1L as n")
+    cells = cells.unionByName(spark.createDataFrame([("few", 9, False, 1), ("few", 4, False, 2)], cells.schema))
+    files = {}
+    for r in cells.collect():
+        files.setdefault(r.token, []).append(r.file)
+    got = {r.token: r.out_sample for r in tokens.consumers(cells).collect()}
+    assert got == {t: [] if t == "t1" else sorted(f)[:10] for t, f in files.items()}
+    blast = {r.token: r.sample for r in tokens.blast_radius(cells, spark.createDataFrame([(4,), (min(files["t0"]),)], "path long")).collect()}
+    assert blast["few"] == [9] and blast["t0"] == [f for f in sorted(files["t0"]) if f not in (4, min(files["t0"]))][:20]
+
+
+def test_tasks_grow_with_what_is_read(spark, tmp_path):
+    from corpusloom.sources.space import tasks
+
+    spark.range(0, 1_500_000, 1, 1).selectExpr("xxhash64(id) as x").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert 5 <= tasks(df.groupBy("x").count(), 2) <= 8 and tasks(df, 1000) == 1 and tasks(df.join(df, "x"), 2) >= 10
