@@ -13,8 +13,8 @@ def firsts(rows: DataFrame, by: list[str], order: list[str], most: int) -> DataF
 
 
 def neighbors(rows: DataFrame, target: str, by: str = "path", order: str = "pos", value: str = "tag", reach: int = 4) -> DataFrame:
-    """by, order, before, after: the values up to `reach` places around each target; the target itself drops out after the cut."""
-    w = Window.partitionBy(by).orderBy(order)
+    """by, order, before, after: the values up to `reach` places around each target; the target itself drops out after the cut. Equal places come by value."""
+    w = Window.partitionBy(by).orderBy(order, value)
     others = lambda c: F.filter(c, lambda t: t != target)
     own = rows.withColumn("before", F.collect_list(value).over(w.rowsBetween(-reach, -1))).withColumn("after", F.collect_list(value).over(w.rowsBetween(1, reach)))
     return own.where(F.col(value) == target).select(by, order, others(F.col("before")).alias("before"), others(F.col("after")).alias("after"))
