@@ -212,17 +212,21 @@ def density(registry: DataFrame) -> DataFrame:
 
 
 def palette(registry: DataFrame) -> DataFrame:
-    """avg_hue (circular mean of saturated colors), avg_saturation, avg_lightness, dominant hue family (neutral if none): usage-weighted, of hex, usages."""
+    """avg_hue (circular mean of saturated colors), avg_saturation, avg_lightness, dominant hue family (neutral if none): usage-weighted, of hex, usages.
+
+    One pass sums by family. No filter stands over the registry: it would be tested below the count of usages, on each use of a color.
+    """
     h = co.hsl(F.substring("hex", 2, 6))
     rows = registry.select("usages", h.alias("c"))
     vivid, w = F.col("c.s") > 0.1, F.col("usages")
-    mean = lambda x: round_half_up(F.sum(x * w) / F.sum(w))
     x = F.sum(F.when(vivid, F.cos(F.radians("c.h")) * w).otherwise(0.0))
     y = F.sum(F.when(vivid, F.sin(F.radians("c.h")) * w).otherwise(0.0))
-    hue = F.pmod(F.degrees(F.atan2(y, x)) + 360, F.lit(360.0))
-    whole = rows.agg(F.floor(hue + 0.5).cast("int").alias("avg_hue"), mean(F.col("c.s")).alias("avg_saturation"), mean(F.col("c.l")).alias("avg_lightness"))
-    family = rows.where(vivid).groupBy(co.hue_family(F.col("c.h")).alias("f")).agg(F.sum("usages").alias("n")).agg(F.max_by("f", F.struct("n", "f")).alias("f"))
-    return whole.join(family, how="cross").select("avg_hue", "avg_saturation", "avg_lightness", F.coalesce("f", F.lit("neutral")).alias("dominant_hue"))
+    sums = {"x": x, "y": y, "s": F.sum(F.col("c.s") * w), "l": F.sum(F.col("c.l") * w), "n": F.sum(w)}
+    families = rows.groupBy(F.when(vivid, co.hue_family(F.col("c.h"))).alias("f")).agg(*(v.alias(k) for k, v in sums.items()))
+    hue = F.pmod(F.degrees(F.atan2(F.sum("y"), F.sum("x"))) + 360, F.lit(360.0))
+    mean = lambda c: round_half_up(F.sum(c) / F.sum("n"))
+    top = F.max(F.when(F.col("f").isNotNull(), F.struct("n", "f")))["f"]
+    return families.agg(F.floor(hue + 0.5).cast("int").alias("avg_hue"), mean("s").alias("avg_saturation"), mean("l").alias("avg_lightness"), F.coalesce(top, F.lit("neutral")).alias("dominant_hue"))
 
 
 #: Font families that are the platform's own.
